@@ -118,7 +118,7 @@ class Words:
         short = count[doc] < k
         some_short = bool(short.any())
         for j in range(k):
-            place = _U((0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1))
+            place = _U(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64))  # powers, as sums over an even spacing would collide
             if some_short:
                 inside = j < count[doc]
                 acc += np.where(inside, self.hash[np.minimum(word + j, max(n - 1, 0))] * place, place)
