@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.llm import chat, fingerprints, jaccard, licenses, mixing, quality, secrets, tiling, toxicity
+from symloom.llm import chat, fingerprints, jaccard, licenses, mixing, prefixfree, quality, secrets, tiling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixfree.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
