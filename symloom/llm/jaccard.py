@@ -30,8 +30,8 @@ from symloom.llm.text import Words, as_long, distinct, mix, slices
 U = np.uint64
 LOW = U(int(0.3125 * 2**64))  # hashes below it are all posted
 SPARE = 16  # 1/16 of a set's shingles may be posted beyond the shortest prefix
-BUCKET = 1 << 20  # posted hashes of one bucket, about
-FLUSH = 1 << 22  # posted hashes that a task gathers before it sends them
+BUCKET = 1 << 19  # posted hashes of one bucket, about
+FLUSH = 1 << 20  # posted hashes that a task gathers before it sends them
 OFTEN = 16  # how often a hash may be posted in one flush; frequencies count up to it
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SHINGLE = 5
 
 _U = np.uint64
@@ -41,7 +41,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(size, _BASE_INV if inverse else _BASE, _U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 8 * CHUNK_BYTES:
             _powers[key] = have
     return have[:n]
 
