@@ -305,3 +305,19 @@ def join(docs: DataFrame) -> DataFrame:
     named = uniq.join(labels.withColumnRenamed("node", "s"), "s", "left").where("copies > 1 or label is not null").select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.coalesce("label", "s").alias("label"))
     out = sizes.join(named, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, few: int = 5_000_000) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest doc_id.
+
+    Repeated rows of a doc_id become one, rows without doc_id stay.  The ids that go are
+    broadcast while they are ``few`` at most, else joined.
+    """
+    gone = stage(join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    many = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("many_id")).count().where("count > 1").select("many_id")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    many = stage(many)
+    if many.isEmpty():
+        return kept
+    again = F.col("doc_id") == F.col("many_id")
+    return kept.join(many, again, "left_anti").unionByName(kept.join(many, again, "left_semi").dropDuplicates(["doc_id"]))
