@@ -11,9 +11,9 @@ below the threshold first, then among all hashes of the sets that are still list
 
 Answer-level skipping.  A list's leader is compared with its members first.  Members that link
 with it are one component, whose answers the leader's answer gives: they are never compared with
-each other.  Of the rest, what a set shares with the leader, and how much it has that neither
-the leader nor it alone has, bound what two sets can share; only pairs that the bound lets
-through are compared.
+each other.  For the rest the leader's answers are kept shingle by shingle: what two members
+share of the leader's text, and how much each has that neither the leader nor it alone has, bound
+what they can share; only pairs that the bound lets through are compared.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 
 from symloom.llm.components import components
 from symloom.llm.staging import stage
-from symloom.llm.text import Words, as_long, distinct, mix, slices
+from symloom.llm.text import Words, as_long, distinct, mix, pieces, slices
 
 U = np.uint64
 LOW = U(int(0.3125 * 2**64))  # hashes below it are all posted
 SPARE = 16  # 1/16 of a set's shingles may be posted beyond the shortest prefix
 BUCKET = 1 << 19  # posted hashes of one bucket, about
 FLUSH = 1 << 20  # posted hashes that a task gathers before it sends them
+CELL = 500  # sets on each side of a block of pairs whose bounds one task works out
 OFTEN = 16  # how often a hash may be posted in one flush; frequencies count up to it
 
 
@@ -135,10 +136,10 @@ def prefixes(b: pa.RecordBatch):
 
 def whole_sets(b: pa.RecordBatch):
     """All hashes of sets, with the document that names the set."""
-    ids = b.column(0).to_numpy().view(U)
-    for i, x in zip(ids, b.column(1).to_pylist(), strict=True):
-        own = np.frombuffer(x, U)
-        yield own, np.full(len(own), i)
+    for part in pieces(b):
+        for i, x in zip(part.column(0).to_numpy().view(U), part.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(x, U)
+            yield own, np.full(len(own), i)
 
 
 def repeated(bits: int, counted: bool = False):
@@ -213,20 +214,77 @@ def full_sets(docs: DataFrame, wanted: DataFrame, few: int = 1_000_000) -> DataF
     return own.mapInArrow(apply, "s long, shingles binary")
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common, either: sizes of intersection and union of each pair (a, b)."""
+def compare(pairs: DataFrame, sets: DataFrame, with_bits: bool = False) -> DataFrame:
+    """a, b, common, either: sizes of intersection and union of each pair (a, b).
+
+    ``with_bits``: also which of a's shingles, in order, b has.
+    """
 
     def apply(batches):
-        for batch in batches:
-            left = [np.frombuffer(x, U) for x in batch.column(2).to_pylist()]
-            right = [np.frombuffer(x, U) for x in batch.column(3).to_pylist()]
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-            either = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(either)], ["a", "b", "common", "either"])
+        for whole in batches:
+            for batch in pieces(whole):
+                left = [np.frombuffer(x, U) for x in batch.column(2).to_pylist()]
+                right = [np.frombuffer(x, U) for x in batch.column(3).to_pylist()]
+                has = [np.isin(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)]
+                common = np.array([np.count_nonzero(x) for x in has], np.int64)
+                either = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
+                arrays = [batch.column(0), batch.column(1), pa.array(common), pa.array(either)]
+                if with_bits:
+                    arrays.append(pa.array([np.packbits(x).tobytes() for x in has], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "common", "either", "bits"][: len(arrays)])
 
     with_b = pairs.join(sets.select(F.col("s").alias("b"), F.col("shingles").alias("right")), "b")
     both = with_b.join(sets.select(F.col("s").alias("a"), F.col("shingles").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(apply, "a long, b long, common long, either long")
+    return both.select("a", "b", "left", "right").mapInArrow(apply, "a long, b long, common long, either long" + ", bits binary" * with_bits)
+
+
+def cell(t: pa.Table) -> pa.Table:
+    """Pairs of one block of sets to place (x) and one of members (y) of a leader that may link.
+
+    What both share with the leader is counted by its shingles; the rest is at most the smaller
+    of what each has that is neither the leader's nor its alone.
+    """
+    is_x = t.column("x").to_numpy(zero_copy_only=False)
+    get = lambda name, rows: t.column(name).to_numpy()[rows]
+    x, y = np.flatnonzero(is_x), np.flatnonzero(~is_x)
+    bits = t.column("bits").to_pylist()
+    unpack = lambda rows: np.unpackbits(np.array([np.frombuffer(bits[i], np.uint8) for i in rows]), axis=1).astype(np.float32)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(x) and len(y):
+        n_y, alone_y, own_y, s_y, label_y, table = get("n", y), get("alone", y), get("own", y), get("s", y), get("label", y), unpack(y)
+        for part in np.array_split(x, -(-len(x) // 64)):
+            n_x, alone_x, own_x = get("n", part)[:, None], get("alone", part)[:, None], get("own", part)[:, None]
+            bound = (unpack(part) @ table.T).astype(np.int64) + np.minimum(own_x, own_y)
+            ok = (175 * bound >= 75 * (n_x + n_y)) & (7 * (alone_x + alone_y) <= n_x + n_y) & (get("label", part)[:, None] != label_y)
+            i, j = np.nonzero(ok)
+            one, two = get("s", part)[i], s_y[j]
+            a.append(np.minimum(one, two))
+            b.append(np.maximum(one, two))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def unsettled(done: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) under one leader that its answers leave open.
+
+    Members of the leader's main component need no comparison with each other; the others are
+    held against all members, in cells of ``CELL`` by ``CELL`` sets, so that a leader of many
+    members is the work of many tasks, and no pair is a row before its bound lets it through.
+    """
+    sizes = listed.select("s", "n", "alone")
+    known = done.select("a", F.col("b").alias("s"), "common", "bits").join(sizes, "s").join(labels.withColumnRenamed("node", "s"), "s", "left")
+    known = stage(known.select("a", "s", "n", "alone", F.coalesce("label", "s").alias("label"), "common", (F.col("n") - F.col("common") - F.col("alone")).alias("own"), "bits"))
+    main = known.groupBy("a", "label").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("own"), F.min("n").alias("n"))
+    main = main.groupBy("a").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("members"), F.max(F.struct("c", "label")).alias("main"), F.max("own").alias("most_own"), F.min("n").alias("least_n")).where("labels > 1")
+    side = known.join(main, "a")
+    reach = F.col("common") + F.least("own", "most_own")
+    x = side.where("label <> main.label").where(175 * reach >= 75 * (F.col("n") + F.greatest("least_n", F.col("n") * 3 / 4)))
+    waiting = x.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("x_blocks")).withColumnRenamed("a", "w_a")
+    fields = ["a", "s", "n", "alone", "label", "own", "bits"]
+    rows, blocks = F.pmod(F.xxhash64("s"), F.col("x_blocks")), F.ceil(F.col("members") / CELL)
+    place = F.pmod(F.xxhash64("s", F.lit(1)), blocks)
+    x = x.join(waiting, F.col("a") == F.col("w_a")).select(*fields, F.lit(True).alias("x"), rows.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
+    y = side.join(waiting, F.col("a") == F.col("w_a")).select(*fields, F.lit(False).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x_blocks") - 1)).alias("i"), place.alias("j"))
+    return x.unionByName(y).groupBy("a", "i", "j").applyInArrow(cell, "a long, b long").distinct()
 
 
 def bits_for(amount: int, share: float) -> int:
@@ -271,33 +329,13 @@ def join(docs: DataFrame) -> DataFrame:
     shared = sets.mapInArrow(poster(bits, whole_sets), "bucket long, entries binary, keys binary").groupBy("bucket").applyInArrow(repeated(bits, True), "s long, shared long").groupBy("s").agg(F.sum("shared").alias("shared"))
     listed = listed.join(shared, "s").withColumn("alone", F.col("n") - F.col("shared")).where("4 * alone <= n").drop("shared")
     lists = stage(with_heads(listed))
-    fits = lambda x, y: (4 * F.least(f"{x}n", f"{y}n") >= 3 * F.greatest(f"{x}n", f"{y}n")) & (7 * (F.col(f"{x}alone") + F.col(f"{y}alone")) <= F.col(f"{x}n") + F.col(f"{y}n"))
-    first = lists.where((F.col("s") != F.col("a")) & fits("", "a_")).select("a", F.col("s").alias("b")).distinct()
+    first = lists.where("s <> a").select("a", F.col("s").alias("b")).distinct()
     linked = F.col("common") * 100 >= F.col("either") * 75
-    done = stage(compare(first, sets))
+    done = stage(compare(first, sets, with_bits=True))
     links = done.where(linked).select("a", "b")
     labels = components(links)
-
-    answers = done.select("a", F.col("b").alias("s"), "common")
-    known = lists.join(labels.withColumnRenamed("node", "s"), "s", "left").join(answers, ["a", "s"], "left")
-    common = F.when(F.col("a") == F.col("s"), F.col("n")).otherwise(F.col("common"))
-    # ``own``: what a set may share beyond its leader's text; unknown where the two were not compared.
-    known = stage(known.select("token", "s", "n", "alone", F.coalesce("label", "s").alias("label"), common.alias("common"), (F.col("n") - common - F.col("alone")).alias("own")))
-    by_label = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.coalesce("own", "n")).alias("own"), F.min("n").alias("n"))
-    mixed = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("main"), F.max("own").alias("most_own"), F.min("n").alias("least_n")).where("labels > 1")
-    side = known.join(mixed.select("token", F.col("main.label").alias("main"), "most_own", "least_n"), "token")
-    reach = F.col("common") + F.least("own", "most_own")
-    fields = ("s", "n", "alone", "label", "common", "own", "main")
-    light = F.col("alone") * 7 <= F.col("n")
-    x = side.where("label <> main").where(F.coalesce(175 * reach >= 75 * (F.col("n") + F.greatest("least_n", F.col("n") * 3 / 4)), F.lit(True)))
-    x, y = (t.select("token", *[F.col(c).alias(p + c) for c in fields], light.alias(p + "light")) for t, p in ((x, "x_"), (side, "y_")))
-    bound = F.least("x_common", "y_common") + F.least("x_own", "y_own")
-    can = F.when(F.col("x_common").isNull() | F.col("y_common").isNull(), F.lit(True)).otherwise(175 * bound >= 75 * (F.col("x_n") + F.col("y_n")))
-    apart = F.col("x_label") != F.col("y_label")
-    pick = lambda p, q: p.join(q, "token").where(apart & fits("x_", "y_") & can).select(F.least("x_s", "y_s").alias("a"), F.greatest("x_s", "y_s").alias("b"))
-    rest = pick(x, y.where("y_light")).unionByName(pick(x.where("x_light"), y.where("not y_light"))).distinct()
     tested = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage(rest.join(tested, ["a", "b"], "left_anti"))
+    rest = stage(unsettled(done, listed, labels).join(tested, ["a", "b"], "left_anti"))
     more = stage(compare(rest, sets).where(linked).select("a", "b"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))

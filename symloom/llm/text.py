@@ -79,6 +79,12 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = last
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values are turned into Python objects."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 class Words:
     """Words of one slice: byte ``start`` and ``end``, ``hash``; ``first[d]:first[d+1]`` are document d's."""
 
