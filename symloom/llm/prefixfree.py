@@ -16,7 +16,8 @@ entries, a start and its ``length`` bytes, are sorted (by 128-bit digest) among
 core, and neighbours compared; a start repeats where equal suffixes have two occurrences
 together.  Equal strings have equal triggers and cores, so no order across cores is needed, and
 the corpus's suffix order is never laid out as a whole.  Cores of more than ``FULL`` entries
-don't meet in one task: their suffixes are counted as rows.
+don't meet in one task: their suffixes are counted as rows, strip by strip, where the bytes that
+a strip's strings have in common are not unique.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from symloom.llm.staging import stage
 from symloom.llm.text import mix, powers, slices
 
 GRAM = 16
+STRIP = 8  # distances from the trigger of one strip of a crowded core's entries
 FULL = 2000  # entries of one core that may meet in a task
 BUCKET = 4000  # entries of a bucket of cores, about
 WINDOW = 192
@@ -87,8 +89,8 @@ def phrase_rows(length: int):
                 whole = np.array([xxhash.xxh3_64_intdigest(raw[i : j + length], a - i) for a, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)], U)
                 who = pa.array(doc + row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(who), b.column(1).take(who), pa.array((lo - offs[doc]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int16)), pa.array(cores.view(np.int64)), pa.array(whole.view(np.int64))],
-                    ["doc_id", "tag", "start", "starts", "core", "whole"],
+                    [b.column(0).take(who), b.column(1).take(who), pa.array((lo - offs[doc]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int16)), pa.array((at - lo).astype(np.int16)), pa.array(cores.view(np.int64)), pa.array(whole.view(np.int64))],
+                    ["doc_id", "tag", "start", "starts", "ahead", "core", "whole"],
                 )
 
     return apply
@@ -102,15 +104,15 @@ def contexts(length: int):
             rows = []
             for doc, tag, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 raw = text.encode()
-                rows += [(doc, tag, e["start"], e["starts"], e["core"], e["weight"], e["hot"], raw[e["start"] : e["start"] + e["starts"] - 1 + length]) for e in own]
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                rows += [(doc, tag, e["start"], e["starts"], e["ahead"], e["core"], e["weight"], e["hot"], raw[e["start"] : e["start"] + e["starts"] - 1 + length]) for e in own]
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ENTRY.replace(",", "").split()[::2])
 
     return apply
 
 
-ENTRY = "doc_id long, tag int, start int, starts short, core long, weight long, hot boolean, bytes binary"
+ENTRY = "doc_id long, tag int, start int, starts short, ahead short, core long, weight long, hot boolean, bytes binary"
 RUN = "doc_id long, tag int, start int, starts int"
 
 
@@ -142,16 +144,38 @@ def sorted_suffixes(length: int):
     return apply
 
 
+def strips(length: int):
+    """Entries cut into strips of suffixes by distance from the trigger, ``STRIP`` distances each.
+
+    ``inner`` is the digest of the bytes that all strings of a strip hold, of those strings too
+    that this entry lacks: where it is unique, no suffix of the strip repeats.
+    """
+
+    def apply(batches):
+        for b in batches:
+            rows = []
+            for doc, tag, start, n, ahead, core, weight, hot, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for q in range((ahead - n + 1) // STRIP, ahead // STRIP + 1):
+                    far, near = min(ahead, q * STRIP + STRIP - 1), max(ahead - n + 1, q * STRIP)
+                    inner = xxhash.xxh3_64_intdigest(raw[ahead - q * STRIP : ahead - q * STRIP - STRIP + 1 + length], q)
+                    rows.append((doc, tag, start + ahead - far, far - near + 1, far, core, weight, hot, raw[ahead - far : ahead - near + length], inner - (1 << 63)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 10
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], (ENTRY + ", inner long").replace(",", "").split()[::2])
+
+    return apply
+
+
 def suffix_rows(length: int):
     """One row for each suffix of an entry: where it is, the entry's occurrences, its digest."""
 
     def apply(batches):
         for b in batches:
             for i in range(b.num_rows):
-                n, raw = b.column(3)[i].as_py(), b.column(7)[i].as_py()
+                n, raw = b.column(3)[i].as_py(), b.column(8)[i].as_py()
                 k1, k2 = halves([xxhash.xxh3_128_digest(raw[j : j + length]) for j in range(n)])
                 who = pa.array([i] * n)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(np.arange(n, dtype=np.int32) + b.column(2)[i].as_py()), b.column(5).take(who), pa.array(k1), pa.array(k2)], ["doc_id", "tag", "start", "weight", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(np.arange(n, dtype=np.int32) + b.column(2)[i].as_py()), b.column(6).take(who), pa.array(k1), pa.array(k2)], ["doc_id", "tag", "start", "weight", "k1", "k2"])
 
     return apply
 
@@ -195,15 +219,15 @@ def pick(rows: DataFrame, ids: DataFrame, how: str, few: int) -> DataFrame | Non
 
 def repeated_runs(own: DataFrame, length: int, few: int) -> DataFrame:
     """doc_id, tag, runs: the starts of repeated strings, as an array of (start, starts)."""
-    phrases = own.select("doc_id", "tag", "text").mapInArrow(phrase_rows(length), "doc_id long, tag int, start int, starts short, core long, whole long")
+    phrases = own.select("doc_id", "tag", "text").mapInArrow(phrase_rows(length), "doc_id long, tag int, start int, starts short, ahead short, core long, whole long")
     cores = phrases.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
     cores = cores.where("n > 1").select(F.col("core").alias("c"), (F.col("least") != F.col("most")).alias("mixed"))
     again = stage(phrases.join(cores, F.col("core") == F.col("c")).drop("c"))
 
-    place = F.struct("doc_id", "tag", "start", "starts")
+    place = F.struct("doc_id", "tag", "start", "starts", "ahead")
     entries = stage(again.where("mixed").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("at")))
     crowd = entries.groupBy("core").agg((F.count(F.lit(1)) > FULL).alias("hot")).select(F.col("core").alias("c"), "hot")
-    wanted = entries.join(crowd, F.col("core") == F.col("c")).select("at.doc_id", "at.tag", F.struct("at.start", "at.starts", "core", "weight", "hot").alias("e")).groupBy("doc_id", "tag").agg(F.collect_list("e").alias("own"))
+    wanted = entries.join(crowd, F.col("core") == F.col("c")).select("at.doc_id", "at.tag", F.struct("at.start", "at.starts", "at.ahead", "core", "weight", "hot").alias("e")).groupBy("doc_id", "tag").agg(F.collect_list("e").alias("own"))
     wanted = stage(wanted)
     holders = pick(own, wanted, "left_semi", few)
     holders = own if holders is None else holders
@@ -214,7 +238,10 @@ def repeated_runs(own: DataFrame, length: int, few: int) -> DataFrame:
     runs = opened.where("not hot").groupBy(F.pmod(F.col("core"), F.lit(buckets)).alias("bucket")).applyInArrow(sorted_suffixes(length), RUN)
     hot = opened.where("hot")
     if not hot.isEmpty():
-        rows = hot.mapInArrow(suffix_rows(length), "doc_id long, tag int, start int, weight long, k1 long, k2 long")
+        cut_up = hot.mapInArrow(strips(length), ENTRY + ", inner long")
+        shared = cut_up.groupBy("core", "inner").agg(F.sum("weight").alias("total")).where("total > 1").select(F.col("core").alias("c"), F.col("inner").alias("i"))
+        cut_up = stage(cut_up.join(shared, (F.col("core") == F.col("c")) & (F.col("inner") == F.col("i"))).drop("c", "i", "inner"))
+        rows = cut_up.mapInArrow(suffix_rows(length), "doc_id long, tag int, start int, weight long, k1 long, k2 long")
         twice = rows.groupBy("k1", "k2").agg(F.sum("weight").alias("total")).where("total > 1").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"))
         runs = runs.unionByName(rows.where("weight = 1").join(twice, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))).select("doc_id", "tag", "start", F.lit(1).alias("starts")))
     whole = entries.where("weight > 1").select(F.col("core").alias("c"), F.col("whole").alias("w"))
