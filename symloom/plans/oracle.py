@@ -123,6 +123,7 @@ def with_stubs(body: str) -> str:
     return f"{head}, {STUBS} {body}"
 
 
+HIDDEN = "(SELECT DISTINCT b.* FROM ctype t JOIN ctype b ON b.k = t.k // 7 WHERE t.vis AND t.k % 4 = 1 AND NOT b.vis)"
 PART_IRI = f"'{BASE}/type/_builtin_/' || {esc('meta')}"
 FLAGSHIP = "blue rod"
 
@@ -170,8 +171,8 @@ ORACLE = {
     "generic_block": sql(rows(f"(SELECT {PART_IRI} iri, '{BASE}/type/_builtin_/' || {esc('dm')} d_iri FROM (SELECT q.meta, d.meta dm FROM pq q JOIN pdef d USING (p)))", ("i", "iri", "genericDefinition", "d_iri")) + " UNION ALL " + rows(f"(SELECT {PART_IRI} iri, {PART_IRI} || '/typearg/' || i node, i, '{BASE}/type/_builtin_/' || {esc('m')} a_iri FROM (SELECT meta, i, CASE i WHEN 0 THEN m0 ELSE m1 END m FROM pq JOIN (SELECT unnest([0, 1]) i) ON i < ar))", ("i", "iri", "typeArgument", "node"), ("n", "node", "index", "i"), ("i", "node", "type", "a_iri")), "pq"),
     "stub_arrays": sql(rows(f"(SELECT '{BASE}/type/_builtin_/' || {esc('meta || chr(91) || chr(93)')} iri, {PART_IRI} e_iri, 'Parts.P' || p || '.' || p_name || '[]' nm FROM pdef WHERE p % 5 = 0)", ("a", "iri", "", "'Type'"), ("l", "iri", "name", "nm"), ("l", "iri", "typeKind", "'Array'"), ("n", "iri", "arrayRank", "1"), ("i", "iri", "arrayElementType", "e_iri")), "pdef"),
     "stub_pointers": sql(rows(f"(SELECT '{BASE}/type/_builtin_/' || {esc('meta || chr(42)')} iri, {PART_IRI} e_iri, 'Parts.P' || p || '.' || p_name || '*' nm FROM pdef WHERE p % 7 = 0)", ("a", "iri", "", "'Type'"), ("l", "iri", "name", "nm"), ("l", "iri", "typeKind", "'Pointer'"), ("i", "iri", "pointerElementType", "e_iri")), "pdef"),
-    "type_closure": with_stubs(f"SELECT '{BASE}/type/_builtin_/' || {esc('meta')} iri FROM (SELECT DISTINCT CASE f WHEN 'q' THEN pq.meta ELSE pdef.meta END meta FROM seen JOIN pdef USING (p) LEFT JOIN pq USING (p))"),
-    "stub_types": with_stubs(rows(f"(SELECT {PART_IRI} iri, p, p_name FROM (SELECT DISTINCT CASE f WHEN 'q' THEN pq.meta ELSE pdef.meta END meta, p, pdef.p_name FROM seen JOIN pdef USING (p) LEFT JOIN pq USING (p)))", ("a", "iri", "", "'Type'"), ("l", "iri", "name", "p_name"), ("l", "iri", "fullName", "'Parts.P' || p || '.' || p_name"), ("l", "iri", "typeKind", "'Class'"), ("i", "iri", "inNamespace", f"'{BASE}/namespace/Parts.P' || p"))),
+    "type_closure": with_stubs(f"SELECT '{BASE}/type/_builtin_/' || {esc('meta')} iri FROM (SELECT DISTINCT CASE f WHEN 'q' THEN pq.meta ELSE pdef.meta END meta FROM seen JOIN pdef USING (p) LEFT JOIN pq USING (p)) UNION SELECT iri FROM {HIDDEN}"),
+    "stub_types": with_stubs(rows(f"(SELECT {PART_IRI} iri, p, p_name FROM (SELECT DISTINCT CASE f WHEN 'q' THEN pq.meta ELSE pdef.meta END meta, p, pdef.p_name FROM seen JOIN pdef USING (p) LEFT JOIN pq USING (p)))", ("a", "iri", "", "'Type'"), ("l", "iri", "name", "p_name"), ("l", "iri", "fullName", "'Parts.P' || p || '.' || p_name"), ("l", "iri", "typeKind", "'Class'"), ("i", "iri", "inNamespace", f"'{BASE}/namespace/Parts.P' || p")) + " UNION ALL " + rows(HIDDEN, TYPES[0], *TYPES[2:5], *TYPES[-2:])),
     "nested_types_walk": sql("SELECT 'c' || k AS key, depth, path FROM ctype", "ctype"),
     "namespace_ancestors": sql("SELECT 'n' || n_nationkey ns, 'n' || n_nationkey ancestor FROM places UNION ALL SELECT 'n' || n_nationkey, 'r' || r_regionkey FROM places UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region", "places"),
     "doc_exceptions": sql("SELECT 'o' || o AS owner, cref, count(*) n FROM docs2 WHERE et = 'error' GROUP BY ALL", "docs2"),

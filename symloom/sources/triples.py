@@ -54,9 +54,10 @@ def write_lines(triples: DataFrame, path: str, fmt: str = "nt", prefixes: list[t
 
 def parse_nt(line: Column) -> list[Column]:
     """The five columns of an N-Triples line.  Lenient: IRIs may hold blanks and backticks, as signatures do."""
-    pattern = r"^<(.*?)> <(\S+?)> (?:<(.*)>|\"((?:[^\"\\]|\\.)*)\"(?:\^\^<(.*)>)?) \.$"
+    # one greedy run to the last quote: repeated groups would recurse once for each escape
+    pattern = r"^<([^\"]*?)> <([^>\s\"]+)> (?:<(.*)>|\"(.*)\"(?:\^\^<([^\"]*)>)?) \.$"
     part = lambda i: F.regexp_extract(line, pattern, i)
-    is_iri = F.rlike(line, F.lit(r"^<.*?> <\S+?> <.*> \.$"))
+    is_iri = F.rlike(line, F.lit(r"^<[^\"]*?> <[^>\s\"]+> <.*> \.$"))
     typed = F.rlike(line, F.lit(r"\"\^\^<[^\"]*> \.$")) & ~is_iri
     return [part(1).alias("subject"), part(2).alias("predicate"), F.when(is_iri, part(3)).otherwise(L.unescape_literal(part(4))).alias("object"), is_iri.alias("is_iri"), F.when(typed, part(5)).alias("datatype")]
 
