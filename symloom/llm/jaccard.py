@@ -32,6 +32,7 @@ LOW = U(int(0.3125 * 2**64))  # hashes below it are all posted
 SPARE = 16  # 1/16 of a set's shingles may be posted beyond the shortest prefix
 BUCKET = 1 << 19  # posted hashes of one bucket, about
 FLUSH = 1 << 20  # posted hashes that a task gathers before it sends them
+GROUP = 4096  # sets whose counts are added in one task
 CELL = 500  # sets on each side of a block of pairs whose bounds one task works out
 OFTEN = 16  # how often a hash may be posted in one flush; frequencies count up to it
 
@@ -142,10 +143,10 @@ def whole_sets(b: pa.RecordBatch):
             yield own, np.full(len(own), i)
 
 
-def repeated(bits: int, counted: bool = False):
+def repeated(bits: int, groups: int = 0):
     """Of one bucket, the hashes that two different sets have: by set, with frequencies up to ``OFTEN``.
 
-    ``counted``: only how many each set has.
+    ``groups``: only how many each set has, one row for each of so many groups of sets.
     """
 
     def apply(key, t):
@@ -171,13 +172,25 @@ def repeated(bits: int, counted: bool = False):
         token, own, count = token[order], own[order], count[order]
         cuts = np.append(0, np.flatnonzero(np.diff(own)) + 1) if len(own) else np.zeros(0, int)
         ends = np.append(cuts[1:], len(own)) if len(own) else cuts
-        if counted:
-            return pa.table({"s": as_long(own[cuts].copy()), "shared": pa.array(ends - cuts, pa.int64())})
+        if groups:
+            sets, shared = own[cuts], ends - cuts
+            group = (mix(sets) % U(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []
+            return pa.table({"group": pa.array([int(group[i[0]]) for i in parts], pa.int64()), "sets": pa.array([sets[i].tobytes() for i in parts], pa.binary()), "shared": pa.array([shared[i].astype(np.int64).tobytes() for i in parts], pa.binary())})
         return pa.table({"k1": as_long(own[cuts].copy()), "tokens": pa.array([token[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()), "counts": pa.array([count[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())})
 
     return apply
 
 
+def summed(t: pa.Table) -> pa.Table:
+    """s, shared: the counts of one group of sets, added over buckets."""
+    sets = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("sets").to_pylist()])
+    s, at = np.unique(sets, return_inverse=True)
+    shared = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in t.column("shared").to_pylist()]), len(s))
+    return pa.table({"s": pa.array(s), "shared": pa.array(shared.astype(np.int64))})
+
+
 def choose(batches):
     """The hashes that a set is listed under (see the module); sets with too much text of their own go."""
     for b in batches:
@@ -325,8 +338,10 @@ def join(docs: DataFrame) -> DataFrame:
     listed = stage(listed)
 
     sets = stage(full_sets(docs, with_heads(listed).select("s").distinct()))
-    bits = bits_for(sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0, 8)
-    shared = sets.mapInArrow(poster(bits, whole_sets), "bucket long, entries binary, keys binary").groupBy("bucket").applyInArrow(repeated(bits, True), "s long, shared long").groupBy("s").agg(F.sum("shared").alias("shared"))
+    many, amount = sets.agg(F.count(F.lit(1)), F.sum(F.octet_length("shingles"))).first()
+    bits, groups = bits_for(amount or 0, 8), max(1, many // GROUP)
+    shared = sets.mapInArrow(poster(bits, whole_sets), "bucket long, entries binary, keys binary").groupBy("bucket").applyInArrow(repeated(bits, groups), "group long, sets binary, shared binary")
+    shared = shared.groupBy("group").applyInArrow(summed, "s long, shared long")
     listed = listed.join(shared, "s").withColumn("alone", F.col("n") - F.col("shared")).where("4 * alone <= n").drop("shared")
     lists = stage(with_heads(listed))
     first = lists.where("s <> a").select("a", F.col("s").alias("b")).distinct()
