@@ -194,3 +194,29 @@ def test_patterns(spark):
     assert [tuple(r) for r in got.collect()] == [("m", "Run")]
     with pytest.raises(ValueError, match="shares no variable"):
         solve(bag, [(m, Iri("throws"), Iri("e")), (e, Iri("name"), Lit("Oops"))])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from symloom import cli
+
+    assert cli.main([f"{tmp_path}/none"], spark) == 1 and "Assembly not found" in capsys.readouterr().err
+    for name, rows in tables.of_rows(spark, assemblies=[ASM], namespaces=[NS], types=[type_("A", walk_rank=0)]).items():
+        rows.write.parquet(f"{tmp_path}/in/{name}.parquet")
+    assert cli.main([f"{tmp_path}/in", "-f", "Turtle", "-q", "--one-file"], spark) == 0 and not capsys.readouterr().out
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/in.ttl").collect()]
+    assert lines[0].startswith("@prefix rdf:") and lines[4] == "" and any(x.endswith("isInteractive> false .") for x in lines)
+
+
+def test_streams(spark, tmp_path):
+    from symloom.streaming import triples as S
+
+    rows = [("a", f"{DT}name", "A", False, None), ("b", f"{DT}name", "B", False, None)]
+    bag = spark.createDataFrame(rows, "subject string, predicate string, object string, is_iri boolean, datatype string")
+    bag.coalesce(1).write.parquet(f"{tmp_path}/in")
+    S.append_store(S.read(spark, f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/c1").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/store").where("p = 'name'").count() == 2
+    again = lambda: S.append_known_once(S.read(spark, f"{tmp_path}/in"), f"{tmp_path}/known", f"{tmp_path}/once", f"{tmp_path}/c2").awaitTermination()
+    again()
+    bag.limit(1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    again()
+    assert spark.read.parquet(f"{tmp_path}/once").count() == 2
