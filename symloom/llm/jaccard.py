@@ -143,10 +143,10 @@ def whole_sets(b: pa.RecordBatch):
             yield own, np.full(len(own), i)
 
 
-def repeated(bits: int, groups: int = 0):
+def repeated(bits: int, groups: int, counted: bool = False):
     """Of one bucket, the hashes that two different sets have: by set, with frequencies up to ``OFTEN``.
 
-    ``groups``: only how many each set has, one row for each of so many groups of sets.
+    One row for each of ``groups`` groups of sets.  ``counted``: only how many each set has.
     """
 
     def apply(key, t):
@@ -168,17 +168,17 @@ def repeated(bits: int, groups: int = 0):
             bucket, count = bucket - (1 << bits), np.full(len(token), OFTEN)
         keep = count > 1
         token, own, count = token[keep] | U(bucket << 40), own[keep], count[keep].astype(np.uint8)
-        order = np.lexsort((token, own))
-        token, own, count = token[order], own[order], count[order]
-        cuts = np.append(0, np.flatnonzero(np.diff(own)) + 1) if len(own) else np.zeros(0, int)
-        ends = np.append(cuts[1:], len(own)) if len(own) else cuts
-        if groups:
-            sets, shared = own[cuts], ends - cuts
-            group = (mix(sets) % U(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            parts = np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []
-            return pa.table({"group": pa.array([int(group[i[0]]) for i in parts], pa.int64()), "sets": pa.array([sets[i].tobytes() for i in parts], pa.binary()), "shared": pa.array([shared[i].astype(np.int64).tobytes() for i in parts], pa.binary())})
-        return pa.table({"k1": as_long(own[cuts].copy()), "tokens": pa.array([token[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()), "counts": pa.array([count[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())})
+        group = (mix(own) % U(groups)).astype(np.int64)
+        order = np.lexsort((own, group))
+        group, token, own, count = group[order], token[order], own[order], count[order]
+        if counted:
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+            group, count, own = group[first], np.diff(np.append(first, len(own))), own[first]
+        parts = np.split(np.arange(len(own)), np.flatnonzero(np.diff(group)) + 1) if len(own) else []
+        cols = {"group": pa.array([int(group[i[0]]) for i in parts], pa.int64()), "sets": pa.array([own[i].tobytes() for i in parts], pa.binary())}
+        if counted:
+            return pa.table(cols | {"shared": pa.array([count[i].astype(np.int64).tobytes() for i in parts], pa.binary())})
+        return pa.table(cols | {"tokens": pa.array([token[i].tobytes() for i in parts], pa.binary()), "counts": pa.array([count[i].tobytes() for i in parts], pa.binary())})
 
     return apply
 
@@ -191,13 +191,23 @@ def summed(t: pa.Table) -> pa.Table:
     return pa.table({"s": pa.array(s), "shared": pa.array(shared.astype(np.int64))})
 
 
+def gathered(t: pa.Table) -> pa.Table:
+    """k1, tokens, counts: what the buckets found of each set of one group, put together."""
+    own, token = (np.concatenate([np.frombuffer(x, U) for x in t.column(c).to_pylist()]) for c in ("sets", "tokens"))
+    count = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("counts").to_pylist()])
+    order = np.argsort(own, kind="stable")
+    own, token, count = own[order], token[order], count[order]
+    parts = np.split(np.arange(len(own)), np.flatnonzero(own[1:] != own[:-1]) + 1)
+    return pa.table({"k1": as_long(np.array([own[i[0]] for i in parts], U)), "tokens": pa.array([token[i].tobytes() for i in parts], pa.binary()), "counts": pa.array([count[i].tobytes() for i in parts], pa.binary())})
+
+
 def choose(batches):
     """The hashes that a set is listed under (see the module); sets with too much text of their own go."""
     for b in batches:
         rows = []
-        for parts, n, low, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            token = np.frombuffer(b"".join(p["tokens"] for p in parts), U)
-            count = np.frombuffer(b"".join(p["counts"] for p in parts), np.uint8)
+        for tokens, counts, n, low, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            token = np.frombuffer(tokens, U)
+            count = np.frombuffer(counts, np.uint8)
             alone = low - int(np.count_nonzero(np.unique(token) & U(1)))
             if 4 * alone > n:
                 continue
@@ -332,15 +342,16 @@ def join(docs: DataFrame) -> DataFrame:
     uniq = stage(sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("s"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low")).where("s is not null"))
 
     posted = docs.select("text").mapInArrow(poster(bits, prefixes), "bucket long, entries binary, keys binary")
-    found = posted.groupBy("bucket").applyInArrow(repeated(bits), "k1 long, tokens binary, counts binary")
-    found = found.groupBy("k1").agg(F.collect_list(F.struct("tokens", "counts")).alias("parts"))
-    listed = found.join(uniq, "k1").select("parts", "n", "low", "s").mapInArrow(choose, "s long, n long, alone long, tokens array<long>")
+    groups = max(1, uniq.count() // GROUP)
+    found = posted.groupBy("bucket").applyInArrow(repeated(bits, groups), "group long, sets binary, tokens binary, counts binary")
+    found = found.groupBy("group").applyInArrow(gathered, "k1 long, tokens binary, counts binary")
+    listed = found.join(uniq, "k1").select("tokens", "counts", "n", "low", "s").mapInArrow(choose, "s long, n long, alone long, tokens array<long>")
     listed = stage(listed)
 
     sets = stage(full_sets(docs, with_heads(listed).select("s").distinct()))
     many, amount = sets.agg(F.count(F.lit(1)), F.sum(F.octet_length("shingles"))).first()
     bits, groups = bits_for(amount or 0, 8), max(1, many // GROUP)
-    shared = sets.mapInArrow(poster(bits, whole_sets), "bucket long, entries binary, keys binary").groupBy("bucket").applyInArrow(repeated(bits, groups), "group long, sets binary, shared binary")
+    shared = sets.mapInArrow(poster(bits, whole_sets), "bucket long, entries binary, keys binary").groupBy("bucket").applyInArrow(repeated(bits, groups, True), "group long, sets binary, shared binary")
     shared = shared.groupBy("group").applyInArrow(summed, "s long, shared long")
     listed = listed.join(shared, "s").withColumn("alone", F.col("n") - F.col("shared")).where("4 * alone <= n").drop("shared")
     lists = stage(with_heads(listed))
