@@ -307,7 +307,8 @@ def unsettled(done: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFram
     place = F.pmod(F.xxhash64("s", F.lit(1)), blocks)
     x = x.join(waiting, F.col("a") == F.col("w_a")).select(*fields, F.lit(True).alias("x"), rows.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
     y = side.join(waiting, F.col("a") == F.col("w_a")).select(*fields, F.lit(False).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x_blocks") - 1)).alias("i"), place.alias("j"))
-    return x.unionByName(y).groupBy("a", "i", "j").applyInArrow(cell, "a long, b long").distinct()
+    # dealt by all keys: Spark would take the joins' partitioning by leader for the groups too
+    return x.unionByName(y).repartition("a", "i", "j").groupBy("a", "i", "j").applyInArrow(cell, "a long, b long").distinct()
 
 
 def bits_for(amount: int, share: float) -> int:
