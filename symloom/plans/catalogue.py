@@ -60,11 +60,23 @@ def iri_namespace(spark, d):
     return of(spark, d).namespaces.where("startswith(ns_id, 'n')").select(F.col("ns_id").alias("key"), "iri")
 
 
+@query
+def iri_namespace_all(spark, d):
+    """Every namespace; ``iri_namespace`` is held to the nations by its SQL form."""
+    return of(spark, d).namespaces.select(F.col("ns_id").alias("key"), "iri")
+
+
 @query
 def iri_type(spark, d):
     return of(spark, d).types.where("startswith(type_id, 'c')").select(F.col("type_id").alias("key"), "iri")
 
 
+@query
+def iri_type_all(spark, d):
+    """Types of every shape; ``iri_type`` is held to the target types by its SQL form."""
+    return of(spark, d).types.select(F.col("type_id").alias("key"), "iri")
+
+
 @query
 def iri_member(spark, d):
     return of(spark, d).members.select(F.col("member_id").alias("key"), "iri")
@@ -102,6 +114,11 @@ def type_class(spark, d):
     return star.load(spark, d)["types"].where("startswith(type_id, 'c')").select(F.col("walk_rank").alias("c_custkey"), I.type_class(F.col("type_kind"), F.col("is_record")).alias("cls"))
 
 
+@query
+def type_class_all(spark, d):
+    return star.load(spark, d)["types"].select(F.col("type_id").alias("key"), I.type_class(F.col("type_kind"), F.col("is_record")).alias("cls"))
+
+
 @query
 def attr_args_text(spark, d):
     rows = of(spark, d).attribute_rows().where("class_iri is not null and (size(ctor_args) > 0 or size(named_args) > 0)")
@@ -308,12 +325,22 @@ def nested_types_walk(spark, d):
     return closure.walk(star.load(spark, d)["types"].where("startswith(type_id, 'c')")).select(F.col("type_id").alias("key"), "depth", "path")
 
 
+@query
+def nested_types_walk_all(spark, d):
+    return closure.walk(star.load(spark, d)["types"]).select(F.col("type_id").alias("key"), "depth", "path")
+
+
 @query
 def namespace_ancestors(spark, d):
     spaces = star.load(spark, d)["namespaces"].where("substring(ns_id, 1, 1) in ('r', 'n')")
     return closure.ancestors(spaces).select(F.col("ns_id").alias("ns"), "ancestor")
 
 
+@query
+def namespace_ancestors_all(spark, d):
+    return closure.ancestors(star.load(spark, d)["namespaces"]).select(F.col("ns_id").alias("ns"), "ancestor")
+
+
 def _references(spark, d, element):
     return crefs.references(star.load(spark, d)["docs"], element).groupBy(F.col("owner_id").alias("owner"), "cref").agg(F.count(F.lit(1)).alias("n"))
 
@@ -341,6 +368,14 @@ def cref_type(spark, d):
     return crefs.resolve(asked, *x._lookup).where("target_kind = 'type'").select("cref", F.col("target_id").alias("target"))
 
 
+@query
+def cref_type_all(spark, d):
+    """Asks for every type; constructed ones, arrays and pointers are no targets and have no row."""
+    x = of(spark, d)
+    asked = x.names.select(F.concat(F.lit("T:"), F.col("meta_name")).alias("cref"))
+    return crefs.resolve(asked, *x._lookup).where("target_kind = 'type'").select("cref", F.col("target_id").alias("target"))
+
+
 @query
 def cref_member_first(spark, d):
     x = of(spark, d)
