@@ -202,6 +202,23 @@ def triples_by_class(spark, d):
     return bag.where(F.col("predicate") == vocab.RDF_TYPE).groupBy(F.substring_index("object", "/", -1).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def triple_count_all(spark, d):
+    """Every emitted triple; ``triple_count`` is held to the parameters' by its SQL form."""
+    return of(spark, d).triples().agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def triples_by_class_all(spark, d):
+    bag = of(spark, d).triples().where(F.col("predicate") == vocab.RDF_TYPE)
+    return bag.groupBy(F.substring_index("object", "/", -1).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def triples_by_predicate(spark, d):
+    return of(spark, d).triples().groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _sets():
     return [ExtractionOptions(include_private=p, include_internal=i, include_compiler_generated=g) for p, i, g in oracle.SETS]
 
@@ -383,6 +400,25 @@ def cref_member_first(spark, d):
     return crefs.resolve(asked, *x._lookup).where("target_kind = 'method'").select("cref", F.col("target_id").alias("target"))
 
 
+def _methods_asked(x, inside):
+    """A cref for every method, its parameter list being ``inside``, and what it resolves to."""
+    lookup = x._lookup
+    asked = lookup[1].where("member_kind = 'method'").join(x.names, "type_id")
+    asked = asked.select(F.concat(F.lit("M:"), "meta_name", F.lit("."), F.replace("name", F.lit("."), F.lit("#")), F.lit("("), inside, F.lit(")")).alias("cref"))
+    return crefs.resolve(asked, *lookup).where("target_kind = 'method'").select("cref", F.col("target_id").alias("target"))
+
+
+@query
+def cref_overload(spark, d):
+    return _methods_asked(of(spark, d), F.coalesce(F.array_join("param_names", ","), F.lit("")))
+
+
+@query
+def cref_fallback(spark, d):
+    """No overload fits the list, so the first by declaration order is taken."""
+    return _methods_asked(of(spark, d), F.lit("No.Such"))
+
+
 @query
 def reference_closure(spark, d):
     customers = raw(spark, d, "customer").select("c_custkey")
