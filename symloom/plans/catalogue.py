@@ -324,12 +324,24 @@ def type_closure(spark, d):
     return of(spark, d, include_attributes=False).stubs.select("iri")
 
 
+@query
+def type_closure_all(spark, d):
+    """By the default options; ``type_closure`` is held to references outside attributes by its SQL form."""
+    return of(spark, d).stubs.select("iri")
+
+
 @query
 def stub_types(spark, d):
     x = of(spark, d, include_attributes=False)
     return P.stub_types(x._placed(x.stubs.where("shape = 'named'")), x.terms)
 
 
+@query
+def stub_types_all(spark, d):
+    x = of(spark, d)
+    return P.stub_types(x._placed(x.stubs.where("shape = 'named'")), x.terms)
+
+
 @query
 def emitted_once(spark, d):
     x = of(spark, d)

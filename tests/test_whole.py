@@ -39,6 +39,8 @@ WANT = {
     "triples_by_predicate": "SELECT predicate, count(*) n FROM bag GROUP BY ALL",
     "cref_overload": oracle.sql(f"SELECT head || '(' || list || ')' cref, 'o' || min(o) target FROM {ASKED} GROUP BY ALL", "mem", "ctype", "items", "pref"),
     "cref_fallback": oracle.sql(f"SELECT head || '(No.Such)' cref, 'o' || min(o) target FROM {ASKED} GROUP BY ALL", "mem", "ctype", "items", "pref"),
+    "type_closure_all": f"SELECT * FROM ({oracle.ORACLE['type_closure']}) UNION ALL SELECT * FROM ({ATTRIBUTED} SELECT iri FROM {MARKS})",
+    "stub_types_all": f"SELECT * FROM ({oracle.ORACLE['stub_types']}) UNION ALL SELECT * FROM ({ATTRIBUTED + MARK_STUBS})",
 }
 
 
