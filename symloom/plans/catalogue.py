@@ -166,6 +166,17 @@ def ttl_lines(spark, d):
     return triples.lines(_own_type_triples(spark, d), "ttl")
 
 
+@query
+def nt_lines_all(spark, d):
+    """Lines of the whole bag, no column emptied; ``nt_lines`` is held to the types' own triples by its SQL form."""
+    return triples.lines(of(spark, d).triples(), "nt")
+
+
+@query
+def ttl_lines_all(spark, d):
+    return triples.lines(of(spark, d).triples(), "ttl")
+
+
 def _numbered(spark, lines):
     return values(spark, list(enumerate(lines)), "pos int, line string")
 

@@ -41,6 +41,8 @@ WANT = {
     "cref_fallback": oracle.sql(f"SELECT head || '(No.Such)' cref, 'o' || min(o) target FROM {ASKED} GROUP BY ALL", "mem", "ctype", "items", "pref"),
     "type_closure_all": f"SELECT * FROM ({oracle.ORACLE['type_closure']}) UNION ALL SELECT * FROM ({ATTRIBUTED} SELECT iri FROM {MARKS})",
     "stub_types_all": f"SELECT * FROM ({oracle.ORACLE['stub_types']}) UNION ALL SELECT * FROM ({ATTRIBUTED + MARK_STUBS})",
+    "nt_lines_all": f"SELECT '<' || subject || '> <' || predicate || '> ' || CASE WHEN is_iri THEN '<' || object || '>' ELSE '\"' || {oracle.lit('object')} || '\"' || coalesce('^^<' || datatype || '>', '') END || ' .' line FROM bag",
+    "ttl_lines_all": f"SELECT '<' || subject || '> <' || predicate || '> ' || CASE WHEN is_iri THEN '<' || object || '>' WHEN datatype IN ('{vocab.XSD_BOOLEAN}', '{vocab.XSD_INTEGER}') THEN object ELSE '\"' || {oracle.lit('object')} || '\"' || coalesce('^^<' || datatype || '>', '') END || ' .' line FROM bag",
 }
 
 
