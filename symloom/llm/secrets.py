@@ -15,6 +15,7 @@ HEX = r"[0-9a-f]{16,}"
 ISSUED = r"(?:gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
 KINDS = ("assign", "access", "hex", "issued", "live")
 WIDE = 3  # owners from which a value is a widely copied example
+WIDE_REPOS = 4  # repositories from which it is one, be they of one owner
 
 
 def occurrences(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -70,21 +71,25 @@ def owners(found: DataFrame) -> DataFrame:
     return each.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
 
 
-def live(value: Column, owners: Column) -> Column:
-    """Owner-specific and of many different characters, digits and letters among them."""
-    return (owners < WIDE) & F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]")) & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~F.rlike(F.lower(value), F.lit("example|sample|dummy|changeme|placeholder|xxxx|test"))
+def wide(owners: Column, repos: Column) -> Column:
+    return (owners >= WIDE) | (repos >= WIDE_REPOS)
+
+
+def live(value: Column, owners: Column, repos: Column) -> Column:
+    """In few owners and few repositories, and of many different characters, digits and letters among them."""
+    return ~wide(owners, repos) & F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]")) & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~F.rlike(F.lower(value), F.lit("example|sample|dummy|changeme|placeholder|xxxx|test"))
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """``rows`` (row, keep, found, owner, repo) with ``judged``: (span, owners, live) of each span, in order.
+    """``rows`` (row, keep, found, owner, repo) with ``judged``: (span, owners, repos, live) of each span, in order.
 
     ``keep`` is a struct carried along.  Rows without candidates aren't shuffled.
     """
     with_any = rows.where(F.size("found") > 0).select("row", "keep", "owner", "repo", F.explode("found").alias("s"))
     one = with_any.select("row", "keep", "owner", "repo", "s", F.col("s.value").alias("value"))
-    counts = owners(one).select(F.col("hash").alias("h"), "owners")
+    counts = owners(one).select(F.col("hash").alias("h"), "owners", "repos")
     one = one.withColumn("hash", F.sha2("value", 256)).join(counts, F.col("hash") == F.col("h"))
-    back = one.groupBy("row").agg(F.first("keep").alias("keep"), F.array_sort(F.collect_list(F.struct("s", "owners", live(F.col("value"), F.col("owners")).alias("live")))).alias("judged"))
+    back = one.groupBy("row").agg(F.first("keep").alias("keep"), F.array_sort(F.collect_list(F.struct("s", "owners", "repos", live(F.col("value"), F.col("owners"), F.col("repos")).alias("live")))).alias("judged"))
     bare = rows.where(F.size("found") == 0).select("row", "keep", F.array().cast(back.schema["judged"].dataType).alias("judged"))
     return back.unionByName(bare)
 
@@ -94,7 +99,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     The method hashes each candidate value, counts the distinct owners (``source``) and
     repositories (``source`` and ``lang``) that hold it, and adds a span ``live`` for a value of
-    few owners that looks real, and ``issued`` for a token with an issuer's mark of that sort.
+    few owners and repositories that looks real, and ``issued`` for a token with an issuer's mark of that sort.
     Null and empty texts have no spans; a null source is an owner of its own; repeated rows are
     reported each.
     """
@@ -115,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.sha2(listed(F.col("keep.base")), 256).alias("base_sha256"),
         listed(F.array_sort(F.array_distinct(F.concat(own, added)))).alias("spans"),
         F.size(F.filter("judged", lambda j: j["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("judged", lambda j: j["owners"] >= WIDE)).cast("long").alias("n_copied"),
+        F.size(F.filter("judged", lambda j: wide(j["owners"], j["repos"]))).cast("long").alias("n_copied"),
     )
 
 
@@ -131,7 +136,7 @@ def redact(docs: DataFrame) -> DataFrame:
     owner = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     dirty = docs.where(any_).select(whole.alias("keep"), all_occurrences(text).alias("found"), owner.alias("owner"), F.concat_ws("/", owner, F.coalesce(F.col("lang").cast("string"), F.lit("\0"))).alias("repo"))
     dirty = judged(stage(dirty).withColumn("row", F.monotonically_increasing_id()))
-    cut = F.array_sort(F.transform(F.filter("judged", lambda j: (j["s"]["kind"] < 3) | j["live"]), lambda j: F.struct(j["s"]["from"].alias("from"), j["s"]["end"].alias("end"), (j["owners"] >= WIDE).alias("wide"))))
+    cut = F.array_sort(F.transform(F.filter("judged", lambda j: (j["s"]["kind"] < 3) | j["live"]), lambda j: F.struct(j["s"]["from"].alias("from"), j["s"]["end"].alias("end"), wide(j["owners"], j["repos"]).alias("wide"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, c: F.when(c["from"] < a["at"], F.struct(F.greatest(a["at"], c["end"]).alias("at"), a["out"].alias("out"))).otherwise(
         F.struct(c["end"].alias("at"), F.concat(a["out"], F.substring(F.col("keep.text"), a["at"] + 1, c["from"] - a["at"]), F.when(c["wide"], F.lit("[EXAMPLE]")).otherwise(F.lit("[SECRET]"))).alias("out"))

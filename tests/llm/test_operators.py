@@ -202,6 +202,15 @@ def test_copied_values_are_not_live(spark):
     assert text[0] == "token=[EXAMPLE]" and text[9] == "token=[SECRET]"
 
 
+def test_values_copied_over_one_owners_repositories_are_not_live(spark):
+    common, own = "a1b2c3d4e5f60718", "9f8e7d6c5b4a3921"
+    docs = spark.createDataFrame([(i, f"token={common}", f"l{i}", "s0", 0) for i in range(4)] + [(8 + i, f"token={own}", f"l{i}", "s0", 0) for i in range(3)], SCHEMA)
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert got[0].n_live == 0 and got[0].n_copied > 0 and got[8].n_live > 0 and got[8].n_copied == 0
+    text = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert text[0] == "token=[EXAMPLE]" and text[8] == "token=[SECRET]"
+
+
 def test_redaction_keeps_rows_and_columns(odd, empty):
     out = secrets.redact(odd)
     assert out.dtypes == odd.dtypes and out.count() == odd.count()
