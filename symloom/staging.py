@@ -8,13 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The folder of ``spark.checkpoint.dir``; without that setting a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="symloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -23,22 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
-    The files outlive lost executors and are removed when the driver's process ends.
+    The files outlive lost executors.  They go with ``discard``, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/symloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._symloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_symloom_path", None)
+        spark = _written.pop(path, None)
+        if spark is not None:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone by now
-            return
+            _delete(spark, path)
+        except Exception:  # the session may be gone by now; the next may not
+            continue
