@@ -1,44 +1,5 @@
 """Written tables in the shared folder, used to cut lineage between steps of an operator."""
 
-from __future__ import annotations
+from symloom.staging import discard, shared_dir, stage
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="symloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back.
-
-    The files outlive lost executors and are removed when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/symloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone by now
-            return
+__all__ = ["discard", "shared_dir", "stage"]
