@@ -7,8 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symloom.llm.staging import stage
+
 K = 5
 NEAR = 3  # diagonals this close are one passage with words put in or left out
+DRIFT = 12  # most words put in or left out of one passage
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -39,13 +42,14 @@ def gram_rows(words: Column, k: int = K) -> Column:
 
 
 def template_rows(spark, k: int = K) -> DataFrame:
-    """template, label, place, hash of every k-gram, and the number of k-grams; as many rows as the fixed texts have words."""
+    """template, label, place, words and hash of every k-gram, and the template's number of k-grams; as many rows as the fixed texts have words."""
     rows = []
     for t, (label, text) in enumerate(TEMPLATES):
         own = re.findall(r"[a-z0-9]+", text.lower())
         rows += [(t, label, i, len(own) - k + 1, *own[i : i + k]) for i in range(len(own) - k + 1)]
-    names = ", ".join(f"w{i} string" for i in range(k))
-    return spark.createDataFrame(rows, f"template int, label string, place int, grams int, {names}").select("template", "label", "place", "grams", F.xxhash64(*[f"w{i}" for i in range(k)]).alias("t_hash"))
+    names = [f"w{i}" for i in range(k)]
+    out = spark.createDataFrame(rows, "template int, label string, place int, grams int, " + ", ".join(f"{n} string" for n in names))
+    return out.select("template", "label", "place", "grams", F.array(*names).alias("t_words"), F.xxhash64(*names).alias("t_hash"))
 
 
 def phrase_places(words: Column) -> Column:
@@ -59,37 +63,62 @@ def phrase_places(words: Column) -> Column:
     return F.concat(*[places(phrase, label) for phrase, label in PHRASES])
 
 
-def scan(docs: DataFrame, coverage: float = 0.6) -> DataFrame:
-    """Per row of ``docs``: its words, base phrases, and labels with those the voting adds.
+def merged(lines: Column) -> Column:
+    """Groups (places, from, to, size) of neighbouring diagonals, from ``lines`` (diagonal, from, to, places) in order.
+
+    A diagonal joins the group before it if it is ``NEAR`` the last one and not more than
+    ``DRIFT`` from the group's first.
+    """
+    kind = "struct<first:int,last:int,places:array<int>,from:int,to:int>"
+
+    def step(groups, x):
+        own = F.element_at(groups, -1)
+        near = (F.size(groups) > 0) & (x["diagonal"] - own["last"] <= NEAR) & (x["diagonal"] - own["first"] <= DRIFT)
+        fresh = lambda first, places, start, end: F.struct(first.alias("first"), x["diagonal"].alias("last"), places.alias("places"), start.alias("from"), end.alias("to"))
+        joined = fresh(own["first"], F.array_union(own["places"], x["places"]), F.least(own["from"], x["from"]), F.greatest(own["to"], x["to"]))
+        return F.when(near, F.array_append(F.slice(groups, 1, F.size(groups) - 1), joined)).otherwise(F.array_append(groups, fresh(x["diagonal"], x["places"], x["from"], x["to"])))
+
+    return F.aggregate(lines, F.array().cast(f"array<{kind}>"), step)
+
 
-    Every k-gram of a text votes, for each template place that has it, for the diagonal
-    ``text place - template place``; diagonals ``NEAR`` apart or less are merged, and a template
-    is named if distinct places of one merged group cover ``coverage`` of its k-grams.  ``score``
-    is 1 with a base phrase, else the best coverage, else 0.  Null texts are empty; repeated rows
-    are reported each.  The templates are a fixed text, so they are broadcast.
+def scan(docs: DataFrame, coverage: float = 0.6, density: float = 0.5) -> DataFrame:
+    """Per row of ``docs``: its words, base phrases, labels with those the voting adds, and the verified spans.
+
+    Every k-gram of a text is joined by hash to the template places that have it, and votes,
+    where the words are the same, for the diagonal ``text place - template place``.  Diagonals
+    ``NEAR`` apart or less are merged, up to ``DRIFT`` in all.  A merged group is verified if its
+    distinct places cover ``coverage`` of the template's k-grams, and these make up ``density``
+    of the k-grams of its span in the text.  ``spans`` lists label:start:end of verified spans
+    (words, end exclusive).  ``score`` is 1 with a base phrase, else the best coverage, else 0.
+    Null texts are empty; repeated rows are reported each.  The templates are a fixed text, so
+    they are broadcast.  A text is parted into words once; its base and its votes are written.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
-    counted = rows.select("doc_id", "same", words_of(F.col("text")).alias("words"))
-    base = counted.select("doc_id", "same", F.size("words").cast("long").alias("n_words"), F.when(F.array_contains("words", "license"), phrase_places(F.col("words"))).otherwise(none).alias("base"))
-
-    grams = counted.select("doc_id", "same", F.posexplode(gram_rows(F.col("words")))).where(F.col(f"col.w{K - 1}").isNotNull())
-    grams = grams.select("doc_id", "same", "pos", F.xxhash64(*[f"col.w{i}" for i in range(K)]).alias("hash"))
-    hits = grams.join(F.broadcast(template_rows(docs.sparkSession)), F.col("hash") == F.col("t_hash"))
-    key = ["doc_id", "same", "template"]
-    votes = hits.groupBy(*key, "label", "grams", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
-    lines = votes.groupBy(*key, "label", "grams").agg(F.array_sort(F.collect_list(F.struct("diagonal", "places"))).alias("lines"))
-    empty = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("seen"), F.lit(0).alias("best"))
-    merge = lambda a, x: F.struct(
-        x["diagonal"].alias("last"),
-        F.when(x["diagonal"] - a["last"] <= NEAR, F.array_union(a["seen"], x["places"])).otherwise(x["places"]).alias("seen"),
-        F.greatest(a["best"], F.size(F.when(x["diagonal"] - a["last"] <= NEAR, F.array_union(a["seen"], x["places"])).otherwise(x["places"]))).alias("best"),
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    grams = words.select("row", "doc_id", "words", F.posexplode_outer(gram_rows(F.col("words"))))
+    head = F.coalesce("pos", F.lit(0)) == 0
+    grams = grams.select(
+        "row",
+        "doc_id",
+        F.col("pos").alias("at"),
+        head.alias("head"),
+        F.when(head, F.struct(F.size("words").cast("long").alias("n_words"), F.when(F.array_contains("words", "license"), phrase_places(F.col("words"))).otherwise(none).alias("base"))).alias("own"),
+        F.when(F.col(f"col.w{K - 1}").isNotNull(), F.array(*[f"col.w{i}" for i in range(K)])).alias("gram"),
+        F.when(F.col(f"col.w{K - 1}").isNotNull(), F.xxhash64(*[f"col.w{i}" for i in range(K)])).alias("hash"),
     )
-    best = lines.select(*key, "label", (F.aggregate("lines", empty, merge)["best"] / F.col("grams")).alias("cover")).where(F.col("cover") >= coverage)
-    named = best.groupBy("doc_id", "same").agg(F.collect_set("label").alias("voted"), F.max("cover").alias("cover"))
-    named = named.select(F.col("doc_id").alias("n_id"), F.col("same").alias("n_same"), "voted", "cover")
-    out = base.join(named, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("same") == F.col("n_same")), "left")
+    hits = grams.join(F.broadcast(template_rows(docs.sparkSession)), (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_words")), "left")
+    hits = stage(hits.where(F.col("head") | F.col("template").isNotNull()).select("row", "doc_id", "at", "head", "own", "template", "label", "place", "grams"))
+    # the first k-gram's row comes once for each template place that it votes for
+    base = hits.where("head").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("own").alias("own"))
+
+    key = ["row", "template"]
+    votes = hits.where("template is not null").groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.first("label").alias("label"), F.first("grams").alias("grams"), F.min("at").alias("from"), F.max("at").alias("to"), F.collect_set("place").alias("places"))
+    lines = votes.groupBy(*key).agg(F.first("label").alias("label"), F.first("grams").alias("grams"), F.array_sort(F.collect_list(F.struct("diagonal", "from", "to", "places"))).alias("lines"))
+    groups = lines.select("row", "label", "grams", F.explode(merged(F.col("lines"))).alias("g"))
+    cover = F.size("g.places") / F.col("grams")
+    sure = groups.where((cover >= coverage) & (F.size("g.places") >= density * (F.col("g.to") - F.col("g.from") + 1)))
+    named = sure.groupBy("row").agg(F.collect_set("label").alias("voted"), F.max(cover).alias("cover"), F.array_sort(F.collect_list(F.struct(F.col("g.from").alias("start"), (F.col("g.to") + K).alias("end"), "label"))).alias("found"))
+    out = base.join(named, "row", "left").select("doc_id", "own.*", "voted", "cover", "found")
     starts, own = F.transform("base", lambda b: b["start"]), F.array_distinct(F.transform("base", lambda b: b["label"]))
     return out.select(
         "doc_id",
@@ -100,4 +129,5 @@ def scan(docs: DataFrame, coverage: float = 0.6) -> DataFrame:
         F.array_join(F.array_sort(own), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(own, F.coalesce("voted", F.array().cast("array<string>"))))), ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("cover", F.lit(0.0))).cast("double").alias("score"),
+        F.array_join(F.transform(F.coalesce("found", F.array().cast("array<struct<start:int,end:int,label:string>>")), lambda f: F.concat_ws(":", f["label"], f["start"].cast("string"), f["end"].cast("string"))), ",").alias("spans"),
     )

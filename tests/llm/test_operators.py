@@ -342,3 +342,55 @@ def test_native_operators_run_no_python(spark, odd):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
 
 
+
+
+def test_a_text_of_very_many_matches(spark):
+    text = " ".join(f"é {i:016x} pw" for i in range(20_000))
+    docs = frame(spark, [text])
+    spans = ",".join(f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{16,}", text))
+    assert secrets.scan(docs).first().base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    assert secrets.redact(docs).first().text == re.sub("[0-9a-f]{16,}", "[SECRET]", text)
+
+
+def test_long_dialogues_are_the_same_in_pieces(spark):
+    r = random.Random(9)
+    rows = [(1, r.choice([None, 0, r.randrange(50)]), r.choice(["ann", "bob", "system", None]), r.choice(["x", "yo é", None, f"w{r.random()}"])) for _ in range(300)]
+    rows += [(None, None, "ann", "same")] * 40 + [(2, 1, "ann", "a"), (2, 2, "bob", "b")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {(x.conv_id, x.participant): x for x in chat.rotate(talk, chunk=1000).collect()}
+    pieces = collections.defaultdict(list)
+    for x in sorted(chat.rotate(talk, chunk=16).collect(), key=lambda x: x.chunk):
+        assert x.n_turns <= 16 and x.first_char == sum(p.n_chars for p in pieces[x.conv_id, x.participant])
+        pieces[x.conv_id, x.participant].append(x)
+    assert set(whole) == set(pieces) and len(pieces[1, "ann"]) == 19
+    for key, own in pieces.items():
+        assert "".join(p.rendered for p in own) == whole[key].rendered
+        assert ",".join(p.mask for p in own if p.mask) == whole[key].mask
+
+
+def test_licenses_against_plain_python(spark):
+    r = random.Random(4)
+    parts = [" ".join(t.split()[a : a + n]) for _, t in licenses.TEMPLATES for a, n in ((0, 99), (2, 9), (5, 14))] + ["MIT license", "license", "é ß x", "general public license"]
+    texts = [" ".join(r.choice(parts) + r.choice([" ", ". ", " pad words "]) for _ in range(r.randrange(6))) for _ in range(60)]
+    got = {x.doc_id: x for x in licenses.scan(frame(spark, texts)).collect()}
+    grams = [(label, own) for label, t in licenses.TEMPLATES for own in [re.findall("[a-z0-9]+", t.lower())]]
+    for i, t in enumerate(texts):
+        words = re.findall(licenses.WORD, t.lower())
+        base = sorted((j, label) for phrase, label in licenses.PHRASES for j in range(len(words)) if words[j : j + len(phrase.split())] == phrase.split())
+        assert (got[i].n_words, got[i].n_base) == (len(words), len(base))
+        assert (got[i].first_word, got[i].last_word) == ((base[0][0], base[-1][0]) if base else (None, None))
+        spans = set()
+        for label, own in grams:
+            n = len(own) - licenses.K + 1
+            votes = sorted((j - q, j, q) for j in range(len(words) - licenses.K + 1) for q in range(n) if words[j : j + licenses.K] == own[q : q + licenses.K])
+            groups: list[list] = []
+            for d, j, q in votes:
+                if not groups or d - groups[-1][-1][0] > licenses.NEAR or d - groups[-1][0][0] > licenses.DRIFT:
+                    groups.append([])
+                groups[-1].append((d, j, q))
+            for g in groups:
+                start, end, places = min(x[1] for x in g), max(x[1] for x in g), {x[2] for x in g}
+                if len(places) >= 0.6 * n and len(places) >= 0.5 * (end - start + 1):
+                    spans.add(f"{label}:{start}:{end + licenses.K}")
+        assert set(filter(None, got[i].spans.split(","))) == spans
+        assert got[i].labels == ",".join(sorted({x.split(":")[0] for x in spans} | {b[1] for b in base}))
