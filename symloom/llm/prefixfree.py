@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.staging import stage
+from symloom.llm.staging import discard, stage
 from symloom.llm.text import mix, powers, slices
 
 GRAM = 16
@@ -201,10 +201,10 @@ def cut(length: int, text_too: bool):
                     at = j
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if text_too else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            arrays = [b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), bool(spans), rest.decode(errors="ignore") if text_too else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            arrays = [b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()), strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "text"])
 
     return apply
 
@@ -219,14 +219,15 @@ def pick(rows: DataFrame, ids: DataFrame, how: str, few: int) -> DataFrame | Non
 
 def repeated_runs(own: DataFrame, length: int, few: int) -> DataFrame:
     """doc_id, tag, runs: the starts of repeated strings, as an array of (start, starts)."""
-    phrases = own.select("doc_id", "tag", "text").mapInArrow(phrase_rows(length), "doc_id long, tag int, start int, starts short, ahead short, core long, whole long")
+    phrases = stage(own.select("doc_id", "tag", "text").mapInArrow(phrase_rows(length), "doc_id long, tag int, start int, starts short, ahead short, core long, whole long"))
     cores = phrases.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
-    cores = cores.where("n > 1").select(F.col("core").alias("c"), (F.col("least") != F.col("most")).alias("mixed"))
-    again = stage(phrases.join(cores, F.col("core") == F.col("c")).drop("c"))
+    cores = stage(cores.where("n > 1").select(F.col("core").alias("c"), (F.col("least") != F.col("most")).alias("mixed")))
+    again = stage(phrases.join(cores, F.col("core") == F.col("c")).drop("c"))  # both written, so that Spark can split a hot core
+    discard(phrases, cores)
 
     place = F.struct("doc_id", "tag", "start", "starts", "ahead")
     entries = stage(again.where("mixed").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("at")))
-    crowd = entries.groupBy("core").agg((F.count(F.lit(1)) > FULL).alias("hot")).select(F.col("core").alias("c"), "hot")
+    crowd = stage(entries.groupBy("core").agg((F.count(F.lit(1)) > FULL).alias("hot")).select(F.col("core").alias("c"), "hot"))
     wanted = entries.join(crowd, F.col("core") == F.col("c")).select("at.doc_id", "at.tag", F.struct("at.start", "at.starts", "at.ahead", "core", "weight", "hot").alias("e")).groupBy("doc_id", "tag").agg(F.collect_list("e").alias("own"))
     wanted = stage(wanted)
     holders = pick(own, wanted, "left_semi", few)
@@ -247,16 +248,18 @@ def repeated_runs(own: DataFrame, length: int, few: int) -> DataFrame:
     whole = entries.where("weight > 1").select(F.col("core").alias("c"), F.col("whole").alias("w"))
     same = again.where("mixed").join(whole, (F.col("core") == F.col("c")) & (F.col("whole") == F.col("w"))).unionByName(again.where("not mixed"), allowMissingColumns=True)
     runs = runs.unionByName(same.select("doc_id", "tag", "start", F.col("starts").cast("int").alias("starts")))
-    return stage(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "starts")).alias("runs")))
+    out = stage(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "starts")).alias("runs")))
+    discard(again, entries, crowd, wanted, opened)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_too: bool = False, few: int = 1_000_000) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` if ``text_too``.
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether any byte goes), and the remaining ``text`` if ``text_too``.
 
     Each byte of a ``length``-byte string that also starts anywhere else, same document included,
     is removed; strings are judged on the input.  Null texts are empty; texts under ``length``
     bytes keep all.  Repeated rows are different places, so long ones lose everything.
-    ``length`` is twice ``WINDOW`` at least.  ``kept`` drops what a cut leaves of a character.
+    ``length`` is twice ``WINDOW`` at least.  ``text`` drops what a cut leaves of a character.
     Ids of the documents to look into again are broadcast while they are ``few`` at most; beyond
     that, texts are shuffled to them.
     """
@@ -271,5 +274,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_too: bool = False, f
         joined = own.join(named, same, "left").select("doc_id", "text", "runs")
     else:
         joined = changed.join(named, same).select("doc_id", "text", "runs").unionByName(rest.select("doc_id", "text", F.lit(None).cast(named.schema["runs"].dataType).alias("runs")))
-    out = joined.mapInArrow(cut(length, text_too), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return out if text_too else out.drop("kept")
+    out = joined.mapInArrow(cut(length, text_too), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, text string")
+    return out if text_too else out.drop("text")

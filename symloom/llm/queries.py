@@ -23,7 +23,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefixfree.remove_repeats(table(spark, sf_dir, "documents"))
+    return prefixfree.remove_repeats(table(spark, sf_dir, "documents"), text_too=True)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
