@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.components import components
-from symloom.llm.staging import stage
+from symloom.llm.components import components, with_more
+from symloom.llm.staging import discard, stage
 from symloom.llm.text import Words, as_long, distinct, mix, pieces, slices
 
 U = np.uint64
@@ -32,8 +32,10 @@ LOW = U(int(0.3125 * 2**64))  # hashes below it are all posted
 SPARE = 16  # 1/16 of a set's shingles may be posted beyond the shortest prefix
 BUCKET = 1 << 19  # posted hashes of one bucket, about
 FLUSH = 1 << 20  # posted hashes that a task gathers before it sends them
-GROUP = 4096  # sets whose counts are added in one task
-CELL = 500  # sets on each side of a block of pairs whose bounds one task works out
+GROUP = 4096  # sets whose counts are added in one task, at most
+HELD = 1 << 21  # posted hashes of those sets, about
+PAST = 1 << 16  # sets among which what is past ``OFTEN`` of a bucket is dealt out
+CELL = 200  # sets on each side of a block of pairs whose bounds one task works out
 OFTEN = 16  # how often a hash may be posted in one flush; frequencies count up to it
 
 
@@ -74,12 +76,13 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, n long, low long, k1 long, k2 long")
 
 
-def poster(bits: int, source):
+def poster(bits: int, source, parts: int = 1):
     """Sends what ``source`` posts by bucket: entries of 39 bits of hash, 1 of ``below``, 24 of place in ``keys``.
 
-    Hashes that one flush holds more than ``OFTEN`` times go to their bucket ``OFTEN`` times, and
-    the rest past it (bucket numbers from 2**bits): they are known to be frequent, so no bucket
-    meets more than ``OFTEN`` of a hash from one flush.
+    Hashes that one flush holds more than ``OFTEN`` times go to their bucket ``OFTEN`` times: they
+    are known to be frequent, so no bucket meets more than ``OFTEN`` of a hash from one flush.  The
+    rest go past it (bucket numbers from 2**bits), to one of ``parts`` by their set, as nothing
+    needs to be counted there.
     """
 
     def send(token, low, key):
@@ -94,7 +97,7 @@ def poster(bits: int, source):
         rank = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
         bucket = (token >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
         past = rank >= OFTEN
-        bucket = np.where(past, bucket + (1 << bits), bucket)
+        bucket = np.where(past, bucket + ((1 + (mix(key) % U(parts)).astype(np.int64)) << bits), bucket)
         entry = (((token << U(bits)) >> U(25)) << U(1)) | low
         order = np.argsort(bucket, kind="stable")
         bucket, entry, key = bucket[order], entry[order], key[order]
@@ -165,7 +168,7 @@ def repeated(bits: int, groups: int, counted: bool = False):
         size = np.diff(np.append(start, len(token)))
         count = np.repeat(np.minimum(size, OFTEN), size)
         if bucket >= 1 << bits:
-            bucket, count = bucket - (1 << bits), np.full(len(token), OFTEN)
+            bucket, count = bucket & ((1 << bits) - 1), np.full(len(token), OFTEN)
         keep = count > 1
         token, own, count = token[keep] | U(bucket << 40), own[keep], count[keep].astype(np.uint8)
         group = (mix(own) % U(groups)).astype(np.int64)
@@ -206,9 +209,9 @@ def choose(batches):
     for b in batches:
         rows = []
         for tokens, counts, n, low, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            token = np.frombuffer(tokens, U)
-            count = np.frombuffer(counts, np.uint8)
-            alone = low - int(np.count_nonzero(np.unique(token) & U(1)))
+            token, at = np.unique(np.frombuffer(tokens, U), return_index=True)  # copies may have come by both ways
+            count = np.frombuffer(counts, np.uint8)[at]
+            alone = low - int(np.count_nonzero(token & U(1)))
             if 4 * alone > n:
                 continue
             order = np.lexsort((token, count))
@@ -314,7 +317,7 @@ def unsettled(done: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFram
 def bits_for(amount: int, share: float) -> int:
     """Bits of a bucket's number, so that buckets get ``BUCKET`` hashes or so."""
     posted = amount * share if share < 1 else amount / share
-    return min(20, max(0, int(np.ceil(np.log2(max(posted / BUCKET, 1))))))
+    return min(24, max(0, int(np.ceil(np.log2(max(posted / BUCKET, 1))))))
 
 
 def with_heads(listed: DataFrame) -> DataFrame:
@@ -324,8 +327,8 @@ def with_heads(listed: DataFrame) -> DataFrame:
     """
     rows = listed.select("s", "n", "alone", F.explode("tokens").alias("token"))
     heads = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "s", "n", "alone")).alias("head"))
-    heads = heads.where("size > 1 and head.alone * 7 <= head.n").select("token", F.col("head.s").alias("a"), F.col("head.n").alias("a_n"), F.col("head.alone").alias("a_alone"))
-    return rows.join(heads, "token")
+    heads = heads.where("size > 1 and head.alone * 7 <= head.n").select("token", F.col("head.s").alias("a"))
+    return rows.join(stage(heads), "token")  # written first, so that Spark can split the rows of a hot token
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -342,37 +345,38 @@ def join(docs: DataFrame) -> DataFrame:
     bits = bits_for(total, 0.34)
     uniq = stage(sizes.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("s"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low")).where("s is not null"))
 
-    posted = docs.select("text").mapInArrow(poster(bits, prefixes), "bucket long, entries binary, keys binary")
-    groups = max(1, uniq.count() // GROUP)
+    different = uniq.count()
+    posted = docs.select("text").mapInArrow(poster(bits, prefixes, 1 + different // PAST), "bucket long, entries binary, keys binary")
+    groups = max(1, different // GROUP, int(total * 0.34) // HELD)
     found = posted.groupBy("bucket").applyInArrow(repeated(bits, groups), "group long, sets binary, tokens binary, counts binary")
     found = found.groupBy("group").applyInArrow(gathered, "k1 long, tokens binary, counts binary")
     listed = found.join(uniq, "k1").select("tokens", "counts", "n", "low", "s").mapInArrow(choose, "s long, n long, alone long, tokens array<long>")
-    listed = stage(listed)
+    listed = kept = stage(listed)
 
     sets = stage(full_sets(docs, with_heads(listed).select("s").distinct()))
     many, amount = sets.agg(F.count(F.lit(1)), F.sum(F.octet_length("shingles"))).first()
     bits, groups = bits_for(amount or 0, 8), max(1, many // GROUP)
-    shared = sets.mapInArrow(poster(bits, whole_sets), "bucket long, entries binary, keys binary").groupBy("bucket").applyInArrow(repeated(bits, groups, True), "group long, sets binary, shared binary")
+    shared = sets.mapInArrow(poster(bits, whole_sets, 1 + many // PAST), "bucket long, entries binary, keys binary").groupBy("bucket").applyInArrow(repeated(bits, groups, True), "group long, sets binary, shared binary")
     shared = shared.groupBy("group").applyInArrow(summed, "s long, shared long")
     listed = listed.join(shared, "s").withColumn("alone", F.col("n") - F.col("shared")).where("4 * alone <= n").drop("shared")
     lists = stage(with_heads(listed))
     first = lists.where("s <> a").select("a", F.col("s").alias("b")).distinct()
     linked = F.col("common") * 100 >= F.col("either") * 75
     done = stage(compare(first, sets, with_bits=True))
-    links = done.where(linked).select("a", "b")
-    labels = components(links)
+    labels = components(done.where(linked).select("a", "b"))
     tested = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stage(unsettled(done, listed, labels).join(tested, ["a", "b"], "left_anti"))
     more = stage(compare(rest, sets).where(linked).select("a", "b"))
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = with_more(labels, more)
+    discard(kept, sets, lists, done, rest, more)
 
     named = uniq.join(labels.withColumnRenamed("node", "s"), "s", "left").where("copies > 1 or label is not null").select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.coalesce("label", "s").alias("label"))
     out = sizes.join(named, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, few: int = 5_000_000) -> DataFrame:
+def keep_first(docs: DataFrame, few: int = 1_000_000) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id.
 
     Repeated rows of a doc_id become one, rows without doc_id stay.  The ids that go are
