@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         say(f"Loading {a.input}")
         x = Extraction(tables.load(spark, a.input), o)
         say(f"Output: {output}")
-        bag = x.triples()
+        bag = x.store  # written once, for the count and the lines
         n = bag.count()
         say(f"Extracted {x.full.count()} types, {n} triples")
         triples.write_lines(bag, output, fmt, triples.standard_prefixes(o.base_uri), one_file=a.one_file)

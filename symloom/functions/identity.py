@@ -14,13 +14,14 @@ def escape(text: Column) -> Column:
     """Keeps letters, decimal digits and ``-_.~``; the rest is percent-encoded UTF-8 in upper hex.
 
     A character outside the basic plane counts as two unpaired halves, each of which is encoded
-    as the replacement character.  Plain texts, the usual case, skip the loop over characters.
+    as the replacement character.  Plain and ASCII texts, the usual case, skip the loop over characters.
     """
     one = lambda c: (
         F.when(F.octet_length(c) == 4, F.lit("%EF%BF%BD%EF%BF%BD")).when(F.rlike(c, F.lit(r"^[\p{L}\p{Nd}._~-]$")), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
     )
     slow = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
-    return F.when(F.rlike(text, F.lit(r"^[a-zA-Z0-9._~-]*$")), text).otherwise(slow)
+    ascii_ = F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.when(F.rlike(text, F.lit(r"^[a-zA-Z0-9._~-]*$")), text).when(F.rlike(text, F.lit(r"^\p{ASCII}*$")), ascii_).otherwise(slow)
 
 
 def term(base: str, name: str) -> Column:

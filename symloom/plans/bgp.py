@@ -28,17 +28,27 @@ class Lit:
 Pattern = tuple[Var | Iri, Var | Iri, Var | Iri | Lit]
 
 
-def _scan(triples: DataFrame, pattern: Pattern, tag: int) -> tuple[DataFrame, list[str]]:
+def _kind(name: str) -> str:
+    return f"_kind_{name}"
+
+
+def _scan(triples: DataFrame, pattern: Pattern, tag: int, iris: frozenset[str] = frozenset()) -> tuple[DataFrame, list[str]]:
+    """Rows of one pattern; ``iris`` are variables that stand for IRIs elsewhere.  Other objects carry their kind of term."""
     rows, out, seen = triples, [], {}
     for role, term in zip(("subject", "predicate", "object"), pattern, strict=True):
         if isinstance(term, Var):
+            if role == "object" and term.name in iris:
+                rows = rows.where("is_iri")
             if term.name in seen:
                 rows = rows.where(F.col(role) == F.col(seen[term.name]))
             else:
                 seen[term.name] = role
                 out.append(F.col(role).alias(term.name))
+                if role == "object" and term.name not in iris:
+                    out.append(F.when(F.col("is_iri"), F.lit("<>")).otherwise(F.coalesce("datatype", F.lit(""))).alias(_kind(term.name)))
         else:
-            rows = rows.where(F.col(role) == term.value)
+            # a store has a folder for each predicate
+            rows = rows.where(F.col("folder" if role == "predicate" and "folder" in triples.columns else role) == term.value)
             if isinstance(term, Lit):
                 rows = rows.where("not is_iri and datatype is null")
             elif role == "object":
@@ -70,14 +80,16 @@ def solve(triples: DataFrame, patterns: list[Pattern], select: list[str] | None
     asked for.
     """
     result, known = None, []
+    iris = frozenset(t.name for p in patterns for t in p[:2] if isinstance(t, Var))
     for i, pattern in enumerate(order(patterns)):
-        rows, names = _scan(triples, pattern, i)
+        rows, names = _scan(triples, pattern, i, iris)
         if result is None:
             result, known = rows, names
             continue
         shared = [n for n in names if n in known]
         if not shared and names and known and not allow_product:
             raise ValueError(f"pattern {pattern} shares no variable with the others")
-        result = result.join(rows, shared) if shared else result.crossJoin(rows)
+        keys = shared + [_kind(n) for n in shared if n not in iris]
+        result = result.join(rows, keys) if shared else result.crossJoin(rows)
         known += [n for n in names if n not in known]
     return result.select(*(select or known))

@@ -11,9 +11,16 @@ from symloom.functions import identity as I
 from symloom.operators import closure, crefs, filters, naming
 from symloom.operators import project as P
 from symloom.options import ExtractionOptions
+from symloom.sources.triples import by_predicate
 from symloom.staging import stage
 
 
+def _first_of_iri(rows: DataFrame, *by: str) -> DataFrame:
+    """One row of each IRI: the first in the walk, then by id."""
+    place = Window.partitionBy("iri").orderBy(*([F.col(c) for c in by] or [F.col("walk_rank").asc_nulls_last(), F.col("type_id")]))
+    return rows.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+
+
 class Extraction:
     """One extraction.  Properties are built when first read, so a query pays for what it uses.
 
@@ -102,21 +109,23 @@ class Extraction:
         out = out.unionByName(edge(full.join(objects, "base_type_id", "left_anti"), "type_id", "base_type_id"))
         out = out.unionByName(edge(self.t["type_ifaces"].join(own, "type_id", "left_semi"), "type_id", "iface_type_id"))
         out = out.unionByName(edge(shown.where("not (member_kind = 'method' and coalesce(returns_void, false))"), "type_id", "value_type_id"))
-        holders = shown.select("member_id", F.col("type_id").alias("holder")).unionByName(own.select(F.col("type_id").alias("member_id"), F.col("type_id").alias("holder")))
-        params = self.t["params"].join(holders.withColumnRenamed("member_id", "owner_member_id"), "owner_member_id")
+        holders = shown.select(F.col("member_kind").alias("kind"), F.col("member_id").alias("id"), F.col("type_id").alias("holder"))
+        holders = holders.unionByName(own.select(F.lit("type").alias("kind"), F.col("type_id").alias("id"), F.col("type_id").alias("holder")))
+        params = self.t["params"].join(shown.select(F.col("member_id").alias("owner_member_id"), F.col("type_id").alias("holder")), "owner_member_id")
         out = out.unionByName(edge(params, "holder", "type_id"))
-        limits = self.t["type_params"].join(holders.withColumnRenamed("member_id", "owner_id"), "owner_id").select("tp_id", "holder").join(self.t["tp_constr"], "tp_id")
+        limits = self.t["type_params"].join(holders.select(F.col("kind").alias("owner_kind"), F.col("id").alias("owner_id"), "holder"), ["owner_kind", "owner_id"]).select("tp_id", "holder").join(self.t["tp_constr"], "tp_id")
         out = out.unionByName(edge(limits, "holder", "type_id"))
         if self.o.include_attributes:
-            on = self.t["attributes"].join(holders.withColumnRenamed("member_id", "target_id"), "target_id")
+            on = self.t["attributes"].join(holders.select(F.col("kind").alias("target_kind"), F.col("id").alias("target_id"), "holder"), ["target_kind", "target_id"])
             out = out.unionByName(edge(on, "holder", "class_type_id"))
         docs = []
         if self.o.extract_exceptions:
-            docs.append(self.exceptions.select("owner_id", "target_id"))
+            docs.append(self.exceptions.select("owner_kind", "owner_id", "target_id"))
         if self.o.extract_see_also:
-            docs.append(self.see_also.where("target_kind = 'type'").select("owner_id", "target_id"))
+            docs.append(self.see_also.where("target_kind = 'type'").select("owner_kind", "owner_id", "target_id"))
         for d in docs:
-            out = out.unionByName(edge(d.join(holders.withColumnRenamed("member_id", "owner_id"), "owner_id"), "holder", "target_id"))
+            by = holders.select((F.col("kind") == "type").alias("on_type"), F.col("id").alias("owner_id"), "holder")
+            out = out.unionByName(edge(d.withColumn("on_type", F.col("owner_kind") == "type").join(by, ["on_type", "owner_id"]), "holder", "target_id"))
         return out
 
     @cached_property
@@ -126,13 +135,13 @@ class Extraction:
         out = self.types.join(nodes.withColumnRenamed("node", "type_id"), "type_id", "left_semi").join(self.full.select("type_id"), "type_id", "left_anti").where("shape in ('named', 'array', 'pointer')")
         if not self.o.include_external_types:
             out = out.where("shape <> 'named'")
-        return stage(out.dropDuplicates(["iri"]))
+        return stage(_first_of_iri(out))
 
     @cached_property
     def used_namespaces(self) -> DataFrame:
         used = self.full.select("ns_id").unionByName(self.stubs.where("shape = 'named'").select("ns_id")).distinct()
         up = closure.ancestors(self.t["namespaces"]).join(used, "ns_id", "left_semi").select(F.col("ancestor").alias("ns_id")).distinct()
-        return self.namespaces.join(up, "ns_id", "left_semi").dropDuplicates(["iri"])
+        return _first_of_iri(self.namespaces.join(up, "ns_id", "left_semi"), "ns_id")
 
     # documentation
 
@@ -163,10 +172,11 @@ class Extraction:
         return rows.join(self.assemblies.select("asm_id", F.col("iri").alias("asm_iri")), "asm_id", "left").join(spaces, "ns_id", "left")
 
     def type_triples(self) -> DataFrame:
-        rows = self._placed(self.full.dropDuplicates(["iri"]))
+        own = _first_of_iri(self.full)
+        rows = self._placed(own)
         rows = self._ref(self._ref(self._ref(rows, "base_type_id", "base_iri"), "containing_type_id", "outer_iri"), "enum_underlying_type_id", "enum_iri")
         rows = rows.join(self.t["types"].select(F.col("type_id").alias("base_type_id"), F.col("special_type").alias("base_special")), "base_type_id", "left")
-        faces = self._ref(self.t["type_ifaces"].join(self.full.select("type_id", "iri"), "type_id"), "iface_type_id", "iface_iri")
+        faces = self._ref(self.t["type_ifaces"].join(own.select("type_id", "iri"), "type_id"), "iface_type_id", "iface_iri")
         return P.types(rows, self.terms).unionByName(P.implements(faces, self.terms))
 
     def stub_triples(self) -> DataFrame:
@@ -232,16 +242,18 @@ class Extraction:
         return P.attributes(self.attribute_rows(), self.terms)
 
     def _owners(self, kinds: tuple[str, ...]) -> DataFrame:
-        own = self.shown.where(F.col("member_kind").isin(*kinds)).select(F.col("member_id").alias("owner_id"), "iri")
-        return own.unionByName(self.full.select(F.col("type_id").alias("owner_id"), "iri"))
+        own = self.shown.where(F.col("member_kind").isin(*kinds)).select(F.lit(False).alias("on_type"), F.col("member_id").alias("owner_id"), "iri")
+        return own.unionByName(self.full.select(F.lit(True).alias("on_type"), F.col("type_id").alias("owner_id"), "iri"))
 
     def throws_triples(self) -> DataFrame:
-        return P.throws(self._ref(self.exceptions.join(self._owners(("method",)), "owner_id"), "target_id", "object_iri"), self.terms)
+        rows = self.exceptions.withColumn("on_type", F.col("owner_kind") == "type").join(self._owners(("method",)), ["on_type", "owner_id"])
+        return P.throws(self._ref(rows, "target_id", "object_iri"), self.terms)
 
     def related_triples(self) -> DataFrame:
-        rows = self.see_also.join(self._owners(("method", "property")), "owner_id")
-        nodes = self.type_iris.select(F.col("type_id").alias("target_id"), F.col("iri").alias("object_iri")).unionByName(self.members.select(F.col("member_id").alias("target_id"), F.col("iri").alias("object_iri")))
-        return P.related(rows.join(nodes, "target_id"), self.terms)
+        rows = self.see_also.withColumn("on_type", F.col("owner_kind") == "type").join(self._owners(("method", "property")), ["on_type", "owner_id"])
+        nodes = self.type_iris.select(F.lit("type").alias("target_kind"), F.col("type_id").alias("target_id"), F.col("iri").alias("object_iri"))
+        nodes = nodes.unionByName(self.members.select(F.col("member_kind").alias("target_kind"), F.col("member_id").alias("target_id"), F.col("iri").alias("object_iri")))
+        return P.related(rows.join(nodes, ["target_kind", "target_id"]), self.terms)
 
     def triples(self) -> DataFrame:
         """The whole bag."""
@@ -258,5 +270,11 @@ class Extraction:
         return out
 
 
+    @cached_property
+    def store(self) -> DataFrame:
+        """The whole bag, written once in folders by predicate (column ``folder``)."""
+        return stage(by_predicate(self.triples()), "folder")
+
+
 def extract(tables: dict[str, DataFrame], options: ExtractionOptions | None = None) -> DataFrame:
     return Extraction(tables, options).triples()

@@ -56,7 +56,8 @@ def sql(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    ctes = ", ".join(f"{n} AS ({q})" for n, q in CTES.items() if n in wanted)
+    # materialised, as DuckDB stops with an internal error on some of the inlined forms; a recursive one can't be
+    ctes = ", ".join(f"{n} AS {'' if n == 'cmeta' else 'MATERIALIZED '}({q})" for n, q in CTES.items() if n in wanted)
     return (f"WITH RECURSIVE {ctes} " if ctes else "") + body
 
 

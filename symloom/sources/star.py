@@ -30,8 +30,11 @@ def _id(prefix: str, key):
     return F.concat(F.lit(prefix), key.cast("string"))
 
 
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in SOURCES}
     parts = t["part"].count()
     orders = t["orders"].count()
     places = t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))  # one row for each nation

@@ -33,9 +33,11 @@ def lines(triples: DataFrame, fmt: str = "nt") -> DataFrame:
     return triples.select(make(*map(F.col, COLUMNS)).alias("line"))
 
 
-def write_lines(triples: DataFrame, path: str, fmt: str = "nt", prefixes: list[tuple[str, str]] | None = None, one_file: bool = False, ordered: bool = True) -> None:
+def write_lines(triples: DataFrame, path: str, fmt: str = "nt", prefixes: list[tuple[str, str]] | None = None, one_file: bool = False, ordered: bool = False) -> None:
     """Text files under ``path`` (overwritten), UTF-8 with LF; the header is a file of its own, first by name.
 
+    ``ordered`` sorts the whole bag, which shuffles it.
+
     ``one_file`` orders and streams all lines through one task; use it for small graphs only.
     """
     spark = triples.sparkSession
@@ -45,11 +47,12 @@ def write_lines(triples: DataFrame, path: str, fmt: str = "nt", prefixes: list[t
         top = spark.createDataFrame([(0, i, x) for i, x in enumerate(header)], "part int, pos long, line string")
         body = body.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("pos"), "line")
         whole = top.unionByName(body).coalesce(1)
-        (whole.sortWithinPartitions("part", "pos", "line") if ordered else whole).select("line").write.mode("overwrite").option("lineSep", "\n").text(path)
+        whole.sortWithinPartitions("part", "pos", "line").select("line").write.mode("overwrite").option("lineSep", "\n").text(path)
         return
-    (body.sort("line") if ordered else body).write.mode("overwrite").option("lineSep", "\n").text(path)
-    if header:
-        spark.createDataFrame([(i, x) for i, x in enumerate(header)], "pos long, line string").coalesce(1).sortWithinPartitions("pos").select("line").write.mode("append").option("lineSep", "\n").text(f"{path}/_header")
+    body = body.sort("line") if ordered else body
+    if header:  # a union keeps the order of partitions, so the header's file is part 0
+        body = spark.createDataFrame([(i, x) for i, x in enumerate(header)], "pos long, line string").coalesce(1).sortWithinPartitions("pos").select("line").unionByName(body)
+    body.write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def parse_nt(line: Column) -> list[Column]:
@@ -68,9 +71,14 @@ def read_nt(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*parse_nt(F.col("value")))
 
 
+def by_predicate(triples: DataFrame) -> DataFrame:
+    """``triples`` with ``folder``, the predicate once more to name folders by, dealt out by it; Spark splits the frequent ones."""
+    return triples.withColumn("folder", F.col("predicate")).hint("rebalance", F.col("folder"))
+
+
 def write_store(triples: DataFrame, path: str) -> None:
     """Parquet by predicate, so that a pattern with a constant predicate reads its folder alone."""
-    triples.withColumn("p", F.regexp_extract("predicate", r"([^/#]+)$", 1)).repartition("p", F.pmod(F.xxhash64("subject"), F.lit(16))).write.mode("overwrite").partitionBy("p").parquet(path)
+    by_predicate(triples).write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -22,14 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back.
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder, in folders of column ``by`` if given, and reads it back.
 
     The files outlive lost executors.  They go with ``discard``, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/symloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if not _written:
         atexit.register(_clean)
     _written[path] = spark

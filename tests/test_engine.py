@@ -220,3 +220,28 @@ def test_streams(spark, tmp_path):
     bag.limit(1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     again()
     assert spark.read.parquet(f"{tmp_path}/once").count() == 2
+
+
+def test_ids_may_overlap_across_kinds(spark):
+    doc = '<doc><exception cref="T:N.E"/></doc>'
+    rows = {"types": [type_("1", walk_rank=0), type_("E", walk_rank=1)], "members": [{"member_id": "1", "type_id": "1", "pos": 0, "member_kind": "method", "name": "Run", "accessibility": "Public", "method_kind": "Ordinary", "returns_void": True}]}
+    docs = [{"owner_kind": "member", "owner_id": "1", "xml": doc}]
+    got = Extraction(tables.of_rows(spark, assemblies=[ASM], namespaces=[NS], docs=docs, **rows)).throws_triples().collect()
+    assert len(got) == 1 and "/member/Run" in got[0].subject
+
+
+def test_literals_are_not_iris_in_patterns(spark):
+    rows = [("a", "p", "e", False, None), ("b", "p", "e", True, None), ("e", "q", "x", False, None), ("c", "r", "x", False, "dt"), ("d", "r", "x", False, None)]
+    bag = spark.createDataFrame(rows, "subject string, predicate string, object string, is_iri boolean, datatype string")
+    s, e, v, o = Var("s"), Var("e"), Var("v"), Var("o")
+    assert [tuple(r) for r in solve(bag, [(s, Iri("p"), e), (e, Iri("q"), v)], ["s", "e"]).collect()] == [("b", "e")]
+    assert [tuple(r) for r in solve(bag, [(e, Iri("q"), v), (o, Iri("r"), v)], ["o"]).collect()] == [("d",)]
+
+
+def test_header_is_read_with_the_lines(spark, tmp_path):
+    bag = spark.createDataFrame([("a", f"{DT}name", str(i), False, None) for i in range(20)], "subject string, predicate string, object string, is_iri boolean, datatype string").repartition(3)
+    triples.write_lines(bag, f"{tmp_path}/out", "ttl", [("x", "http://x/")])
+    got = [r.value for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert got.count("@prefix x: <http://x/> .") == 1 and len(got) == 22
+    first = min(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    assert first.read_text() == "@prefix x: <http://x/> .\n\n"
