@@ -247,9 +247,10 @@ def repeated_runs(own: DataFrame, length: int, few: int) -> DataFrame:
         runs = runs.unionByName(rows.where("weight = 1").join(twice, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))).select("doc_id", "tag", "start", F.lit(1).alias("starts")))
     whole = entries.where("weight > 1").select(F.col("core").alias("c"), F.col("whole").alias("w"))
     same = again.where("mixed").join(whole, (F.col("core") == F.col("c")) & (F.col("whole") == F.col("w"))).unionByName(again.where("not mixed"), allowMissingColumns=True)
-    runs = runs.unionByName(same.select("doc_id", "tag", "start", F.col("starts").cast("int").alias("starts")))
+    same = stage(same.select("doc_id", "tag", "start", F.col("starts").cast("int").alias("starts")))  # a stage of its own, so that Spark can split a hot context
+    runs = runs.unionByName(same)
     out = stage(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "starts")).alias("runs")))
-    discard(again, entries, crowd, wanted, opened)
+    discard(again, entries, crowd, wanted, opened, same)
     return out
 
 
