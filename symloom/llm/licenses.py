@@ -36,9 +36,9 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def gram_rows(words: Column, k: int = K) -> Column:
-    """Array of the k words from each place; the last k-1 lack some."""
-    return F.arrays_zip(*[(words if i == 0 else F.slice(words, i + 1, F.size(words))).alias(f"w{i}") for i in range(k)])
+def gram_rows(words: Column, own: Column, k: int = K) -> Column:
+    """Array of the k words from each place, the last k-1 lack some; ``own`` stands in the first element, which is there without words too."""
+    return F.arrays_zip(*[(words if i == 0 else F.slice(words, i + 1, F.size(words))).alias(f"w{i}") for i in range(k)], F.array(own).alias("own"))
 
 
 def template_rows(spark, k: int = K) -> DataFrame:
@@ -95,19 +95,14 @@ def scan(docs: DataFrame, coverage: float = 0.6, density: float = 0.5) -> DataFr
     """
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    grams = words.select("row", "doc_id", "words", F.posexplode_outer(gram_rows(F.col("words"))))
-    head = F.coalesce("pos", F.lit(0)) == 0
-    grams = grams.select(
-        "row",
-        "doc_id",
-        F.col("pos").alias("at"),
-        head.alias("head"),
-        F.when(head, F.struct(F.size("words").cast("long").alias("n_words"), F.when(F.array_contains("words", "license"), phrase_places(F.col("words"))).otherwise(none).alias("base"))).alias("own"),
-        F.when(F.col(f"col.w{K - 1}").isNotNull(), F.array(*[f"col.w{i}" for i in range(K)])).alias("gram"),
-        F.when(F.col(f"col.w{K - 1}").isNotNull(), F.xxhash64(*[f"col.w{i}" for i in range(K)])).alias("hash"),
-    )
-    hits = grams.join(F.broadcast(template_rows(docs.sparkSession)), (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_words")), "left")
-    hits = stage(hits.where(F.col("head") | F.col("template").isNotNull()).select("row", "doc_id", "at", "head", "own", "template", "label", "place", "grams"))
+    own = F.struct(F.size("words").cast("long").alias("n_words"), F.when(F.array_contains("words", "license"), phrase_places(F.col("words"))).otherwise(none).alias("base"))
+    grams = words.select("row", "doc_id", F.posexplode(gram_rows(F.col("words"), own)))  # a text's own facts go with its first k-gram only
+    parts = [F.col(f"col.w{i}") for i in range(K)]
+    grams = grams.select("row", "doc_id", F.col("pos").alias("at"), F.col("col.own").alias("own"), F.when(parts[-1].isNotNull(), F.xxhash64(*parts)).alias("hash"), *[w.alias(f"w{i}") for i, w in enumerate(parts)])
+    same = F.array(*[f"w{i}" for i in range(K)]) == F.col("t_words")  # looked at where hashes agree only
+    hits = grams.join(F.broadcast(template_rows(docs.sparkSession)), F.col("hash") == F.col("t_hash"), "left")
+    hits = hits.select("row", "doc_id", "at", (F.col("at") == 0).alias("head"), "own", F.when(F.col("template").isNotNull(), F.when(same, F.col("template"))).alias("template"), "label", "place", "grams")
+    hits = stage(hits.where(F.col("head") | F.col("template").isNotNull()))
     # the first k-gram's row comes once for each template place that it votes for
     base = hits.where("head").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("own").alias("own"))
 
