@@ -120,6 +120,12 @@ def judged(rows: DataFrame) -> DataFrame:
     return one.groupBy("row").agg(F.array_sort(F.collect_list(verdict)).alias("judged"))
 
 
+def some_match(text: Column) -> Column:
+    """Whether ``text`` has a match of any kind, its value long enough or not."""
+    some = lambda marks: F.greatest(*[F.contains(text, F.lit(m)) for m in marks]) if len(marks) > 1 else F.contains(text, F.lit(marks[0]))
+    return F.rlike(text, F.lit(HEX)) | (some((":", "=")) & F.rlike(text, F.lit(ASSIGN))) | (some(("AKIA",)) & F.rlike(text, F.lit(ACCESS))) | (some(ISSUED_MARKS) & F.rlike(text, F.lit(ISSUED)))
+
+
 def with_owner(docs: DataFrame, *more: Column) -> DataFrame:
     """found, owner, repo and ``more`` of each row, numbered and written."""
     owner = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
@@ -197,15 +203,16 @@ def replaced(text: Column, cuts: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every base value and live issued token replaced; n_chars follows the text.
 
-    Widely copied examples get their own mark.  Only rows with a candidate are shuffled; all
-    columns and their order stay, null texts too.
+    Widely copied examples get their own mark.  Only rows with a match are written and
+    shuffled; all columns and their order stay, null texts too.
     """
-    rows = with_owner(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("keep"))
-    dirty = rows.where(F.size("found") > 0).select("row", "keep").join(judged(rows), "row")
-    cuts = F.array_sort(F.transform(F.filter("judged", lambda j: (j["s"]["kind"] < 3) | j["live"]), lambda j: F.struct(j["s"]["from"].alias("from"), j["s"]["end"].alias("end"), wide(j["owners"], j["repos"]).alias("wide"))))
+    any_ = some_match(F.coalesce(F.col("text"), F.lit("")))
+    rows = with_owner(docs.where(any_), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("keep"))
+    dirty = rows.join(judged(rows), "row", "left")
+    cuts = F.array_sort(F.transform(F.filter(F.coalesce("judged", F.array()), lambda j: (j["s"]["kind"] < 3) | j["live"]), lambda j: F.struct(j["s"]["from"].alias("from"), j["s"]["end"].alias("end"), wide(j["owners"], j["repos"]).alias("wide"))))
     done = dirty.select("keep", let(cuts, lambda own: F.when(F.size(own) > 0, replaced(F.col("keep.text"), own)).otherwise(F.col("keep.text"))).alias("new"))
     cols = []
     for f in docs.schema:
         value = {"text": F.col("new"), "n_chars": F.when(F.col("keep.n_chars").isNotNull(), F.char_length("new")) if f.name == "n_chars" else None}.get(f.name)
         cols.append((value if value is not None else F.col(f"keep.`{f.name}`")).cast(f.dataType).alias(f.name))
-    return rows.where(F.size("found") == 0).select("keep.*").unionByName(done.select(*cols))
+    return docs.where(~any_).unionByName(done.select(*cols))
