@@ -30,10 +30,10 @@ from symloom.llm.text import Words, as_long, distinct, mix, pieces, slices
 U = np.uint64
 LOW = U(int(0.3125 * 2**64))  # hashes below it are all posted
 SPARE = 16  # 1/16 of a set's shingles may be posted beyond the shortest prefix
-BUCKET = 1 << 19  # posted hashes of one bucket, about
-FLUSH = 1 << 20  # posted hashes that a task gathers before it sends them
+BUCKET = 1 << 18  # posted hashes of one bucket, about
+FLUSH = 1 << 19  # posted hashes that a task gathers before it sends them
 GROUP = 4096  # sets whose counts are added in one task, at most
-HELD = 1 << 21  # posted hashes of those sets, about
+HELD = 1 << 20  # posted hashes of those sets, about
 PAST = 1 << 16  # sets among which what is past ``OFTEN`` of a bucket is dealt out
 CELL = 200  # sets on each side of a block of pairs whose bounds one task works out
 OFTEN = 16  # how often a hash may be posted in one flush; frequencies count up to it
