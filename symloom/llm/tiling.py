@@ -32,10 +32,9 @@ class Seeds:
             w = Words(data, offs)
             own += [w.hash[w.first[i] : w.first[i + 1]] for i in range(w.docs)]
             g, d, p = w.grams(k)
-            long = w.count[d] >= k
-            gram.append(g[long])
-            doc.append(d[long] + row)
-            at.append(p[long])
+            gram.append(g)
+            doc.append(d + row)
+            at.append(p)
         g, d, p = map(np.concatenate, (gram, doc, at))
         order = np.argsort(g, kind="stable")
         return Seeds(np.array(ids, np.int64), own, g[order], d[order], p[order])
@@ -84,13 +83,16 @@ def tile(doc: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]], k: int
 
 
 def covered(seeds: Seeds, data: np.ndarray, offs: np.ndarray, k: int) -> dict[int, list[tuple[int, float, int, int]]]:
-    """For each document with seeds: (item, share of the item's words in tiles, longest tile, tiles)."""
+    """For each document with seeds: (item, share of the item's words in tiles, longest tile, tiles).
+
+    A text of fewer than ``k`` words is one seed, so it meets only texts of the very same words.
+    """
     if not len(seeds.gram):
         return {}
     w = Words(data, offs)
     gram, doc, at = w.grams(k)
     low = np.searchsorted(seeds.gram, gram)
-    hit = np.flatnonzero((seeds.gram[np.minimum(low, len(seeds.gram) - 1)] == gram) & (w.count[doc] >= k))
+    hit = np.flatnonzero(seeds.gram[np.minimum(low, len(seeds.gram) - 1)] == gram)
     pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
     high = np.searchsorted(seeds.gram, gram[hit], "right")
     for h, end in zip(hit.tolist(), high.tolist(), strict=True):
@@ -98,7 +100,7 @@ def covered(seeds: Seeds, data: np.ndarray, offs: np.ndarray, k: int) -> dict[in
             pairs.setdefault((int(doc[h]), int(seeds.gram_item[j])), []).append((int(at[h]), int(seeds.gram_at[j])))
     out: dict[int, list[tuple[int, float, int, int]]] = {}
     for (d, i), own in pairs.items():
-        tiles = tile(w.hash[w.first[d] : w.first[d + 1]], seeds.words[i], own, k)
+        tiles = tile(w.hash[w.first[d] : w.first[d + 1]], seeds.words[i], own, min(k, len(seeds.words[i])))
         if tiles:
             out.setdefault(d, []).append((i, sum(t[2] for t in tiles) / len(seeds.words[i]), max(t[2] for t in tiles), len(tiles)))
     return out
@@ -119,9 +121,10 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, k: int =
     """One row for each contaminated document: doc_id, item_id (best covered), coverage, longest_tile, n_tiles, n_items, contaminated (true).
 
     A document is contaminated if tiles of ``k`` words or more cover ``threshold`` of an item's
-    words; so moved passages count.  Items and documents of fewer than ``k`` words, nulls and
-    empty texts match nothing.  Of equally covered items the smallest id is named.  Repeated
-    documents give repeated rows.
+    words; so moved passages count.  An item of fewer than ``k`` words is found where it is a
+    document's whole text: within other text so few words say nothing.  Nulls and texts without
+    words match nothing.  Of equally covered items the smallest id is named.  Repeated documents
+    give repeated rows.
     """
     schema = "doc_id long, item_id long, coverage double, longest_tile int, n_tiles int, n_items int"
     found = None

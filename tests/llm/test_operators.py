@@ -141,6 +141,9 @@ def test_tiling_finds_moved_passages(spark, odd, empty):
     got = {r.doc_id: r for r in tiling.find(docs, benchmark).collect()}
     assert set(got) == {0, 1} and got[0].coverage == got[1].coverage == 1.0 and got[1].n_tiles == 2 and got[0].item_id == 1
     assert sorted(r.doc_id for r in tiling.drop_contaminated(docs, benchmark).collect()) == [2, 3, 4]
+    few = frame(spark, ["TOO\n short", "too short a text to be an item", "short too", "too", "it is too short"])
+    assert [(r.doc_id, r.item_id, r.coverage, r.longest_tile) for r in tiling.find(few, benchmark).collect()] == [(0, 2, 1.0, 2)]
+    assert sorted(r.doc_id for r in tiling.drop_contaminated(few, benchmark).collect()) == [1, 2, 3, 4]
     assert tiling.find(odd, benchmark).count() == tiling.find(empty, benchmark).count() == 0
     assert tiling.find(docs, benchmark.limit(0)).count() == 0
     assert tiling.drop_contaminated(odd, benchmark).count() == odd.count()
@@ -394,3 +397,22 @@ def test_licenses_against_plain_python(spark):
                     spans.add(f"{label}:{start}:{end + licenses.K}")
         assert set(filter(None, got[i].spans.split(","))) == spans
         assert got[i].labels == ",".join(sorted({x.split(":")[0] for x in spans} | {b[1] for b in base}))
+
+
+def test_chat_sql(spark, tmp_path):
+    import duckdb
+
+    from symloom.llm.queries import oracle_sql
+
+    turns = [(i % 3 if i % 7 else None, None if i % 11 == 0 else i % 5, ("ann", "bob", "system", None)[i % 4], None if i % 13 == 0 else f"é世 {i % 6} <|im_end|>") for i in range(900)]
+    turns += [(9, 0, "system", "alone"), (8, 1, "ann", "")]
+    for name, rows in (("many", turns), ("none", [])):
+        table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = chat.rotate(table)
+        table.write.parquet(str(tmp_path / name))
+        db = duckdb.connect()
+        db.sql(f"create view conversations as select * from '{tmp_path / name}/*.parquet'")
+        want = db.sql(oracle_sql()["op7_chat"])
+        assert sorted(want.columns) == sorted(got.columns)
+        order = lambda r: tuple((x is None, x) for x in r)
+        assert sorted(map(tuple, got.select(*want.columns).collect()), key=order) == sorted(want.fetchall(), key=order)
