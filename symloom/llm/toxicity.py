@@ -53,11 +53,10 @@ class OrdinalModel:
         return above.sum(1), above[:, 0]
 
 
-def fit(keys: list[np.ndarray], toxic: np.ndarray, grades: int = 4, width: int = 4096, rounds: int = 400) -> OrdinalModel:
+def fit(keys: list[np.ndarray], toxic: np.ndarray, grades: int = 4, rounds: int = 400) -> OrdinalModel:
     """Selects features, grades the toxic rows, and fits weights and ordered thresholds.
 
-    Features: at most ``width`` keys present in four toxic rows at least and far likelier there
-    than elsewhere.  Grades: 0 for rows that aren't toxic; toxic rows are graded 1.. by
+    Features: all keys present in four toxic rows at least and far likelier there than elsewhere.  Grades: 0 for rows that aren't toxic; toxic rows are graded 1.. by
     quantiles of how many such features they hold.  Without rows of both kinds nothing is
     selected and every text has the severity that the thresholds alone give, 0 nearly.
     """
@@ -76,7 +75,6 @@ def fit(keys: list[np.ndarray], toxic: np.ndarray, grades: int = 4, width: int =
             n_good[at[bad[at] == own]] += 1
     odds = np.log((n_bad + 0.5) / toxic.sum()) - np.log((n_good + 0.5) / (~toxic).sum())
     chosen = np.flatnonzero(odds > 3.5)
-    chosen = np.sort(chosen[np.argsort(-odds[chosen] * np.sqrt(n_bad[chosen]), kind="stable")[:width]])
     if not len(chosen):
         return none
     known = bad[chosen]
