@@ -56,9 +56,10 @@ class OrdinalModel:
 def fit(keys: list[np.ndarray], toxic: np.ndarray, grades: int = 4, rounds: int = 400) -> OrdinalModel:
     """Selects features, grades the toxic rows, and fits weights and ordered thresholds.
 
-    Features: all keys present in four toxic rows at least and far likelier there than elsewhere.  Grades: 0 for rows that aren't toxic; toxic rows are graded 1.. by
-    quantiles of how many such features they hold.  Without rows of both kinds nothing is
-    selected and every text has the severity that the thresholds alone give, 0 nearly.
+    Features: all keys present in four toxic rows at least and far likelier there than elsewhere.
+    Grades: 0 for rows that aren't toxic; toxic rows are graded 1.. by quantiles of how many such
+    features they hold.  Without rows of both kinds nothing is selected and every text has the
+    severity that the thresholds alone give, 0 nearly.
     """
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.linspace(4.0, 6.0, grades - 1))
     if not toxic.any() or toxic.all():
