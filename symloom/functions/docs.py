@@ -49,3 +49,8 @@ def split_params(text: Column) -> Column:
 
     last = lambda a: F.when(F.trim(a["part"]) != "", F.concat(a["parts"], F.array(F.trim(a["part"])))).otherwise(a["parts"])
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), state, step, last)
+
+
+def short_name(meta_name: Column) -> Column:
+    """A type's own metadata name, without namespace and outer types; empty for arrays and pointers, which have none."""
+    return F.when(F.rlike(meta_name, F.lit(r"[\[\]*]")), F.lit("")).otherwise(F.regexp_extract(meta_name, r"([^.+]+)$", 1))

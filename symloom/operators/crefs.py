@@ -17,11 +17,12 @@ def resolve(crefs: DataFrame, types: DataFrame, members: DataFrame) -> DataFrame
     """cref, target_kind ('type' or a member kind), target_id of distinct crefs; unresolved ones have no row.
 
     ``types``: type_id, lookup_name (nested by ``+``).  ``members``: member_id, type_id, name,
-    member_kind, pos, param_names (array of qualified or short names; null for non-methods).
+    member_kind, pos, param_names (array of qualified names; null for non-methods).
 
     T is a type, M, P, F and E a member, no prefix a type or else a member.  A name that several
     types have resolves to none.  A method's parameter list picks the overload of equal count
-    and names; without list, or where none fits, the first by declaration order is taken.
+    and names, each qualified or short; without list, or where none fits, the first by
+    declaration order is taken.
     """
     one = crefs.select("cref").distinct().withColumn("prefix", D.cref_prefix(F.col("cref"))).withColumn("name", D.cref_name(F.col("cref")))
     unique = types.groupBy("lookup_name").agg(F.count(F.lit(1)).alias("n"), F.first("type_id").alias("type_id")).where("n = 1").select("lookup_name", "type_id")
@@ -40,7 +41,8 @@ def resolve(crefs: DataFrame, types: DataFrame, members: DataFrame) -> DataFrame
     wanted = wanted.withColumn("asked", F.when(F.col("inside").isNotNull(), D.split_params(F.col("inside"))))
     found = wanted.join(unique, F.col("owner") == F.col("lookup_name")).join(members.select(F.col("type_id").alias("m_type"), "member_id", F.col("name").alias("m_name"), "member_kind", "pos", "param_names"), (F.col("type_id") == F.col("m_type")) & (F.col("member") == F.col("m_name")))
     names = F.coalesce("param_names", F.array().cast("array<string>"))
-    fits = F.when(F.col("asked").isNotNull(), (F.size("asked") == F.size(names)) & (F.col("asked") == names)).otherwise(F.lit(False))
+    either = F.arrays_zip(F.col("asked").alias("asked"), names.alias("name"))
+    fits = F.when(F.col("asked").isNotNull(), (F.size("asked") == F.size(names)) & F.forall(either, lambda p: (p["asked"] == p["name"]) | (p["asked"] == D.short_name(p["name"])))).otherwise(F.lit(False))
     best = Window.partitionBy("cref").orderBy(F.when(fits, 0).otherwise(1), "pos", "member_id")
     as_member = found.withColumn("r", F.row_number().over(best)).where("r = 1").select("cref", F.col("member_kind").alias("target_kind"), F.col("member_id").alias("target_id"))
     return as_type.unionByName(as_member.join(as_type.select("cref"), "cref", "left_anti"))

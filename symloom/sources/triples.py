@@ -28,9 +28,14 @@ def ttl_header(prefixes: list[tuple[str, str]], any_triples: bool = True) -> lis
 
 
 def lines(triples: DataFrame, fmt: str = "nt") -> DataFrame:
-    """``line`` of each triple; the bag is kept as it is."""
+    """``line`` of each triple; the bag is kept as it is.
+
+    A bag with a column ``verb`` (how a value was emitted: ``bool``, ``int``, ``long``, ``typed``
+    ..) has only values of ``bool`` and ``int`` bare in Turtle; one without goes by datatype.
+    """
     make = {"nt": L.nt_line, "ttl": L.ttl_line}[fmt]
-    return triples.select(make(*map(F.col, COLUMNS)).alias("line"))
+    verb = {"verb": F.col("verb")} if fmt == "ttl" and "verb" in triples.columns else {}
+    return triples.select(make(*map(F.col, COLUMNS), **verb).alias("line"))
 
 
 def write_lines(triples: DataFrame, path: str, fmt: str = "nt", prefixes: list[tuple[str, str]] | None = None, one_file: bool = False, ordered: bool = False) -> None:

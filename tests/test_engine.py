@@ -62,6 +62,9 @@ def test_lines(spark):
     nt = [r.line for r in triples.lines(bag).collect()]
     assert nt == ["<s> <p> <o> .", '<s> <p> "a\\nb" .', f'<s> <p> "true"^^<{vocab.XSD_BOOLEAN}> .', f'<s> <p> "-42"^^<{vocab.XSD_INTEGER}> .', f'<s> <p> "7"^^<{vocab.XSD_LONG}> .']
     assert [r.line for r in triples.lines(bag, "ttl").collect()] == [*nt[:2], "<s> <p> true .", "<s> <p> -42 .", nt[4]]
+    told = bag.withColumn("verb", F.when(F.col("object") == "true", "bool").when(F.col("object") == "-42", "typed"))
+    assert [r.line for r in triples.lines(told, "ttl").collect()] == [*nt[:2], "<s> <p> true .", *nt[3:]]
+    assert [r.line for r in triples.lines(told).collect()] == nt
 
 
 def test_headers():
@@ -163,9 +166,9 @@ def test_crefs_of_xml(spark, xml, want):
 
 def test_cref_resolution(spark):
     types = spark.createDataFrame([("a", "N.A"), ("in", "N.A+In"), ("d1", "N.D"), ("d2", "N.D")], "type_id string, lookup_name string")
-    rows = [("m1", "a", "M", "method", 1, ["Int32"]), ("m2", "a", "M", "method", 2, ["N.A", "N.A"]), ("c", "a", ".ctor", "method", 3, None), ("p", "a", "P", "property", 4, None)]
+    rows = [("m1", "a", "M", "method", 1, ["Int32"]), ("m2", "a", "M", "method", 2, ["N.A", "N.A"]), ("m3", "a", "M", "method", 5, ["N.A+In", "In[]"]), ("c", "a", ".ctor", "method", 3, None), ("p", "a", "P", "property", 4, None)]
     members = spark.createDataFrame(rows, "member_id string, type_id string, name string, member_kind string, pos long, param_names array<string>")
-    asked = {"T:N.A": "a", "N.A": "a", "T:N.A+In": "in", "T:N.A.In": None, "T:N.D": None, "M:N.A.M": "m1", "M:N.A.M(N.A,N.A)": "m2", "M:N.A.M(X,Y,Z)": "m1", "M:N.A.#ctor": "c", "P:N.A.P": "p", "N.A.P": "p", "N:N": None, "!:N.A": None, "M:N.A.Gone": None, "M:N.A.#ctor()": "c"}
+    asked = {"T:N.A": "a", "N.A": "a", "T:N.A+In": "in", "T:N.A.In": None, "T:N.D": None, "M:N.A.M": "m1", "M:N.A.M(N.A,N.A)": "m2", "M:N.A.M(A,N.A)": "m2", "M:N.A.M(In,In[])": "m3", "M:N.A.M(In,)": "m1", "M:N.A.M(X,Y,Z)": "m1", "M:N.A.#ctor": "c", "P:N.A.P": "p", "N.A.P": "p", "N:N": None, "!:N.A": None, "M:N.A.Gone": None, "M:N.A.#ctor()": "c"}
     got = crefs.resolve(spark.createDataFrame([(c,) for c in asked], "cref string"), types, members)
     assert {r.cref: r.target_id for r in got.collect()} == {k: v for k, v in asked.items() if v}
 
