@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 from symloom.options import ExtractionOptions
 from symloom.plans.extract import Extraction
-from symloom.sources import tables, triples
+from symloom.sources import triples
+from symloom.sources.loader import Loader
 
 SUFFIX = {"NTriples": "nt", "Turtle": "ttl"}
 
@@ -18,6 +19,8 @@ SUFFIX = {"NTriples": "nt", "Turtle": "ttl"}
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="symloom")
     p.add_argument("input", help="folder of symbol tables")
+    p.add_argument("-r", "--reference", action="extend", nargs="+", default=[], help="further folders of symbol tables")
+    p.add_argument("-s", "--search-dir", action="extend", nargs="+", default=[], help="folders to look in for assemblies that the input refers to")
     p.add_argument("-o", "--output", help="output folder; the input's name with .nt or .ttl by default")
     p.add_argument("-f", "--format", choices=tuple(SUFFIX), default="NTriples")
     p.add_argument("-b", "--base-uri", default=ExtractionOptions.base_uri)
@@ -58,7 +61,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         spark = spark or SparkSession.builder.appName("symloom").getOrCreate()
         say(f"Loading {a.input}")
-        x = Extraction(tables.load(spark, a.input), o)
+        loader = Loader(spark)
+        for path in a.reference:
+            loader.add_reference(path)
+        for path in a.search_dir:
+            loader.add_search_dir(path)
+        x = Extraction(loader.load(a.input), o)
         say(f"Output: {output}")
         bag = x.store  # written once, for the count and the lines
         n = bag.count()

@@ -58,7 +58,7 @@ def assembly_closure(root: DataFrame, refs: DataFrame, files: DataFrame, extra:
     """name, path of ``root`` (name) and all it refers to (refs: name, ref), by names without case.
 
     A name without file is skipped, and what it refers to is not looked at.  ``extra`` (name,
-    path) joins after the closure where its name is new.
+    path) joins after the closure where its name is new: neither found nor looked for in vain.
     """
     known = files.select(F.lower("file_name").alias("node")).distinct()
     edges = refs.select(F.lower("name").alias("src"), F.lower("ref").alias("dst")).join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
@@ -66,7 +66,8 @@ def assembly_closure(root: DataFrame, refs: DataFrame, files: DataFrame, extra:
     found = resolve_paths(nodes.select(F.col("node").alias("file_name")), files).select(F.lower("file_name").alias("name"), "path")
     if extra is not None:
         more = extra.select(F.lower("name").alias("name"), "path").groupBy("name").agg(F.min("path").alias("path"))
-        found = found.unionByName(more.join(found, "name", "left_anti"))
+        asked = refs.select(F.lower("name").alias("src"), F.lower("ref").alias("name")).join(found.select(F.col("name").alias("src")), "src", "left_semi").select("name")
+        found = found.unionByName(more.join(found.select("name").unionByName(asked), "name", "left_anti"))
     return found
 
 

@@ -25,4 +25,5 @@ TABLES = {
     "params": f"owner_member_id string, ordinal int, name string, type_id string, ref_kind string, {_flags(vocab.PARAM_FLAGS)}, has_default boolean, default_value string",
     "attributes": "target_kind string, target_id string, pos int, is_return boolean, class_type_id string, ctor_args array<struct<kind:string,text:string,items:array<string>>>, named_args array<struct<key:string,value:struct<kind:string,text:string,items:array<string>>>>",
     "docs": "owner_kind string, owner_id string, xml string",
+    "manifest": "assembly string, name string, version string, culture string, public_key_token binary",
 }

@@ -11,7 +11,7 @@ from symloom.operators import closure, crefs, filters
 from symloom.options import ExtractionOptions
 from symloom.plans.bgp import Iri, Lit, Var, solve
 from symloom.plans.extract import Extraction
-from symloom.sources import tables, triples
+from symloom.sources import loader, tables, triples
 
 DT = "http://test.example/ontology/"
 ASM = {"asm_id": "x", "name": "Test Asm", "version": "0.0.0.0", "is_target": True}
@@ -248,3 +248,45 @@ def test_header_is_read_with_the_lines(spark, tmp_path):
     assert got.count("@prefix x: <http://x/> .") == 1 and len(got) == 22
     first = min(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
     assert first.read_text() == "@prefix x: <http://x/> .\n\n"
+
+
+def _folder(spark, path, **rows):
+    for name, table in tables.of_rows(spark, **rows).items():
+        if name in rows:
+            table.write.parquet(f"{path}/{name}.parquet")
+
+
+def _manifest(own, *names):
+    return [{"assembly": own, "name": n} for n in names]
+
+
+def test_loader_follows_manifests(spark, tmp_path):
+    lib = {"asm_id": "l", "name": "Lib", "version": "2.0", "is_target": True}
+    outer = type_("Base", asm_id="l", walk_rank=0, name="Base")
+    _folder(spark, tmp_path / "app/App", assemblies=[ASM], namespaces=[NS], types=[type_("A", walk_rank=0, base_type_id="Base")], manifest=_manifest("App", "LIB", "Gone"))
+    _folder(spark, tmp_path / "one/lib", assemblies=[lib], namespaces=[NS], types=[outer], manifest=_manifest("Lib", "Deep", "App"))
+    _folder(spark, tmp_path / "two/Lib", assemblies=[{**lib, "version": "9.9"}], types=[outer], manifest=_manifest("Lib", "Shadowed"))
+    _folder(spark, tmp_path / "two/Deep", types=[outer, type_("D", walk_rank=5)])
+    _folder(spark, tmp_path / "two/Shadowed", types=[type_("S")])
+    for name in ("Gone", "deep", "Late"):
+        _folder(spark, tmp_path / "more" / name, types=[type_(f"Extra{name}")])
+
+    def load(*search):
+        x = loader.Loader(spark)
+        for folder in (*search, "none"):
+            x.add_search_dir(f"{tmp_path}/{folder}")
+        for name in ("Gone", "deep", "Late", "none"):
+            x.add_reference(f"{tmp_path}/more/{name}")
+        return x, x.load(f"{tmp_path}/app/App")
+
+    x, got = load("one", "two")
+    ids = lambda t: sorted(r.type_id for r in t["types"].collect())
+    assert ids(got) == ["A", "Base", "D", "ExtraLate"]  # Gone was asked for in vain, Deep is known, Shadowed is hidden
+    assert sorted((r.asm_id, r.version, r.is_target) for r in got["assemblies"].collect()) == [("l", "2.0", False), ("x", "0.0.0.0", True)]
+    triples_of = Extraction(got, ExtractionOptions(base_uri="http://test.example/"))
+    assert [r.object for r in triples_of.type_triples().where(f"predicate = '{DT}inherits'").collect()] == ["http://test.example/type/Lib/2.0/N.Base"]
+    assert triples_of.full.count() == 1
+    assert ids(load("two", "one")[1]) == ["A", "Base", "ExtraLate", "Extradeep", "S"]
+    before = list(x.search)
+    assert ids({"types": x.load(f"{tmp_path}/two/Deep")["types"]}) == ["Base", "D", "ExtraGone", "ExtraLate"]
+    assert x.search == [*before, f"{tmp_path}/two"]
