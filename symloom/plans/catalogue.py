@@ -14,7 +14,7 @@ from symloom.functions import literals as L
 from symloom.operators import closure, crefs, filters
 from symloom.operators import project as P
 from symloom.options import ExtractionOptions
-from symloom.plans import oracle, whole
+from symloom.plans import oracle, whole, wide
 from symloom.plans.bgp import Iri, Lit, Var, solve
 from symloom.plans.extract import Extraction
 from symloom.sources import star, triples
@@ -46,11 +46,11 @@ def stamp(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(out))
 
 
-def of(spark: SparkSession, sf_dir: str, **options) -> Extraction:
+def of(spark: SparkSession, sf_dir: str, wide: bool = False, **options) -> Extraction:
     """The extraction of a data folder.  Queries of one session share its written tables while the folder's files stay the same."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(options.items())), stamp(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, wide, tuple(sorted(options.items())), stamp(spark, sf_dir))
     if key not in _made:
-        _made[key] = Extraction(star.load(spark, sf_dir), ExtractionOptions(**options))
+        _made[key] = Extraction(star.load(spark, sf_dir, wide), ExtractionOptions(**options))
     return _made[key]
 
 
@@ -549,9 +549,62 @@ def page_links(spark, d):
     return raw(spark, d, "pages").select("page_id", F.posexplode(links).alias("pos", "href"))
 
 
+# over the wide mapping of the star schema
+
+
+@query
+def wide_iri_member(spark, d):
+    """Indexers take their parameters in brackets, methods an ``in``."""
+    return of(spark, d, wide=True).members.select(F.col("member_id").alias("key"), "iri")
+
+
+@query
+def wide_member_kinds(spark, d):
+    """Accessors and other kinds of methods are no members."""
+    return of(spark, d, wide=True).shown.select(F.col("member_id").alias("key"), F.col("member_kind").alias("kind"))
+
+
+@query
+def wide_types(spark, d):
+    """Types of the global namespace have no ``inNamespace``, and the root of all objects is nobody's base."""
+    return of(spark, d, wide=True).type_triples()
+
+
+@query
+def wide_type_parameters(spark, d):
+    return of(spark, d, wide=True).type_parameter_triples()
+
+
+@query
+def wide_implementations(spark, d):
+    return of(spark, d, wide=True).implementation_triples()
+
+
+@query
+def wide_parameters(spark, d):
+    return of(spark, d, wide=True).parameter_triples()
+
+
+@query
+def wide_attributes(spark, d):
+    return of(spark, d, wide=True).attribute_triples()
+
+
+@query
+def wide_related(spark, d):
+    """Members are targets as types are."""
+    return _edges(of(spark, d, wide=True).related_triples(), "relatedTo")
+
+
+@query
+def mentioned_generics(spark, d):
+    """Constructed types that the graph mentions, with their definitions and arguments."""
+    return of(spark, d).generic_triples()
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in QUERIES.items() if name not in SUBSETS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, text in (oracle.ORACLE | whole.WHOLE).items() if name not in SUBSETS}
+    return {name: text for name, text in (oracle.ORACLE | whole.WHOLE | wide.WIDE).items() if name not in SUBSETS}

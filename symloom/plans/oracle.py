@@ -46,7 +46,8 @@ NEEDS = {
 }
 
 
-def sql(body: str, *names: str) -> str:
+def sql(body: str, *names: str, own: dict[str, str] | None = None) -> str:
+    """``body`` with the CTEs it needs; ``own`` ones stand in the place of CTES of the same name."""
     wanted: set[str] = set()
 
     def add(n: str) -> None:
@@ -57,7 +58,7 @@ def sql(body: str, *names: str) -> str:
     for n in names:
         add(n)
     # materialised, as DuckDB stops with an internal error on some of the inlined forms; a recursive one can't be
-    ctes = ", ".join(f"{n} AS {'' if n == 'cmeta' else 'MATERIALIZED '}({q})" for n, q in CTES.items() if n in wanted)
+    ctes = ", ".join(f"{n} AS {'' if n == 'cmeta' else 'MATERIALIZED '}({q})" for n, q in (CTES | (own or {})).items() if n in wanted)
     return (f"WITH RECURSIVE {ctes} " if ctes else "") + body
 
 

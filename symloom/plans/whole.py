@@ -33,6 +33,7 @@ WHOLE = {
     "nested_types_walk_all": oracle.sql(f"SELECT 'c' || k AS key, depth, path FROM ctype UNION ALL SELECT key, 0, key FROM ({OUTSIDE})", "ctype", "pq"),
     "namespace_ancestors_all": oracle.sql(f"SELECT id ns, id ancestor FROM ({SPACES}) UNION ALL SELECT id, up FROM ({SPACES}) WHERE up IS NOT NULL", "places"),
     "cref_type_all": oracle.sql(f"SELECT 'T:' || meta cref, key target FROM ({NAMED})", "ctype", "pdef"),
+    "mentioned_generics": ATTRIBUTED + GENERICS,
     "triple_count_all": f"{BAG} SELECT count(*) n FROM bag",
     "triples_by_class_all": f"{BAG} SELECT regexp_extract(object, '[^/]*$') cls, count(*) n FROM bag WHERE predicate = '{vocab.RDF_TYPE}' GROUP BY ALL",
     "triples_by_predicate": f"{BAG} SELECT predicate, count(*) n FROM bag GROUP BY ALL",

@@ -3,6 +3,11 @@
 regions are assemblies; regions and nations namespaces; customers the target types; parts the
 types they refer to (definitions ``p``, constructed ``q``, arrays ``a``, pointers ``r``); orders
 members; line items parameters and attributes, whose classes are suppliers; events documentation.
+
+``load(.., wide=True)`` has what the plain mapping lacks besides: the global namespace, a base that
+is the root of all objects, type parameters of types and methods with constraints, explicit
+implementations, indexers, methods of kinds that are no members, ``in`` parameters, return attributes,
+null and array constants, and references to members in documentation.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def _id(prefix: str, key):
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def load(spark: SparkSession, sf_dir: str, wide: bool = False) -> dict[str, DataFrame]:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in SOURCES}
     parts = t["part"].count()
     orders = t["orders"].count()
@@ -47,6 +52,8 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     of_parts = t["part"].select(_id("P", F.col("p_partkey")).alias("ns_id"), F.lit("Parts").alias("parent_ns_id"), _id("P", F.col("p_partkey")).alias("name"), F.concat(F.lit("Parts.P"), F.col("p_partkey").cast("string")).alias("full_name"))
     top = spark.createDataFrame([("Parts", None, "Parts", "Parts"), ("Marks", None, "Marks", "Marks")], "ns_id string, parent_ns_id string, name string, full_name string")
     spaces = roots.unionByName(inner).unionByName(of_parts).unionByName(top).withColumn("is_global", F.lit(False))
+    if wide:
+        spaces = spaces.unionByName(spark.createDataFrame([("G", None, "", "", True)], spaces.schema))
 
     k = F.col("c_custkey")
     nested = (k % 3 == 0) & (k > 0)
@@ -67,6 +74,8 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     pointers = t["part"].where(p % 7 == 0).select(_id("r", p).alias("type_id"), F.lit("pointer").alias("shape"), F.concat(full, F.lit("*")).alias("display_name"), _id("p", p).alias("element_type_id"))
     marks = t["supplier"].select(_id("s", F.col("s_suppkey")).alias("type_id"), F.lit("named").alias("shape"), F.lit("Marks").alias("ns_id"), F.concat(F.lit("Marks."), F.col("s_name")).alias("display_name"), F.lit(0).alias("arity"), F.col("s_name").alias("name"), F.lit("Class").alias("type_kind"), F.lit("Public").alias("accessibility"))
     types = _table(own, "types")
+    if wide:
+        types = types.withColumn("ns_id", F.when(F.col("walk_rank") % 10 == 7, "G").otherwise(F.col("ns_id"))).withColumn("special_type", F.when(F.col("walk_rank") == 4, "System_Object").otherwise(F.col("special_type")))
     for more in (defs, made, arrays, pointers, marks):
         types = types.unionByName(_table(more, "types"))
     args = t["part"].where(arity > 0).select(_id("q", p).alias("type_id"), F.posexplode(F.slice(F.array(_id("p", (p + 1) % parts), _id("p", (p + 2) % parts)), F.lit(1), arity)).alias("pos", "arg_type_id"))
@@ -82,13 +91,17 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         (o % 5 == 0).alias("is_read_only"), F.when(level == "5", F.lit(True)).otherwise(o % 4 == 0).alias("returns_void"), _id("p", o % parts).alias("value_type_id"), (o % 6 == 0).alias("has_const"), F.when(o % 12 == 0, F.col("o_orderstatus")).alias("const_value"),
         (o % 2 == 1).alias("has_getter"), (o % 3 == 1).alias("has_setter"), F.lit("Public").alias("getter_acc"), F.lit("Private").alias("setter_acc"), (o % 7 == 1).alias("is_init_only"), F.lit(False).alias("is_indexer"), F.when((o % 9 == 0) & (o > 0), _id("o", F.floor(o / 9))).alias("overridden_member_id"),
     )
+    indexer = (level == "2") & (o % 4 == 2) if wide else F.lit(False)
+    if wide:
+        members = members.withColumn("is_indexer", (F.col("member_kind") == "property") & (F.col("pos") % 4 == 2)).withColumn("name", F.when(F.col("is_indexer"), "this[]").otherwise(F.col("name")))
+        members = members.withColumn("method_kind", F.when((F.col("method_kind") == "Ordinary") & (F.col("pos") % 19 == 0), "PropertyGet").otherwise(F.col("method_kind")))
     at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
     items = t["lineitem"].withColumn("ordinal", F.row_number().over(at) - 1)
-    methods = t["orders"].where(level.isin("1", "5")).select(o)
+    methods = t["orders"].where(level.isin("1", "5") | indexer).select(o)
     generic = t["part"].select(p.alias("l_partkey"), arity.alias("arity"))
     params = items.join(methods, F.col("l_orderkey") == o, "left_semi").join(generic, "l_partkey").select(
         _id("o", F.col("l_orderkey")).alias("owner_member_id"), "ordinal", F.concat(F.lit("x"), F.col("ordinal").cast("string")).alias("name"), F.concat(F.when(F.col("arity") > 0, "q").otherwise("p"), F.col("l_partkey").cast("string")).alias("type_id"),
-        F.when(F.col("l_returnflag") == "A", "Ref").when(F.col("l_returnflag") == "R", "Out").otherwise("None").alias("ref_kind"), (F.col("l_linenumber") == 1).alias("is_optional"), (F.col("l_linenumber") % 3 == 0).alias("has_default"), F.when(F.col("l_linenumber") == 3, F.col("l_linestatus")).alias("default_value"),
+        F.when(F.col("l_returnflag") == "A", "Ref").when(F.col("l_returnflag") == "R", "Out").when(F.lit(wide) & (F.col("l_linenumber") == 2), "In").otherwise("None").alias("ref_kind"), (F.col("l_linenumber") == 1).alias("is_optional"), (F.col("l_linenumber") % 3 == 0).alias("has_default"), F.when(F.col("l_linenumber") == 3, F.col("l_linestatus")).alias("default_value"),
     )
     kinds_of = t["orders"].select(o.alias("l_orderkey"), kind.alias("target_kind"))
     const = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.array().cast("array<string>").alias("items"))
@@ -97,14 +110,34 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(F.col("l_linenumber") % 2 == 0, F.array(const("string", F.col("l_returnflag")), const("other", F.col("l_linenumber").cast("string")))).alias("ctor_args"),
         F.when(F.col("l_linenumber") == 5, F.array(F.struct(F.lit("Key").alias("key"), const("type", F.col("l_linestatus")).alias("value")))).alias("named_args"),
     )
+    if wide:
+        both = F.struct(F.lit("array").alias("kind"), F.lit(None).cast("string").alias("text"), F.array("l_returnflag", "l_linestatus").alias("items"))
+        given = items.where("l_linenumber = 3").select(_id("o", F.col("l_orderkey")).alias("target_id"), F.col("ordinal").alias("pos"), F.array(both, const("null", F.lit(None).cast("string"))).alias("more"))
+        attributes = attributes.join(given, ["target_id", "pos"], "left").withColumn("ctor_args", F.coalesce("ctor_args", "more")).drop("more")
+        sixth = items.where("l_linenumber = 6").select(_id("o", F.col("l_orderkey")).alias("target_id"), F.col("ordinal").alias("pos"), F.lit(True).alias("sixth"))
+        attributes = attributes.join(sixth, ["target_id", "pos"], "left").withColumn("is_return", F.coalesce("sixth", F.lit(False)) & (F.col("target_kind") == "method")).drop("sixth")
     e = F.col("event_id")
     target = F.concat(F.lit("T:Parts.P"), p.cast("string"), F.lit("."), F.col("p_name"), F.when(arity > 0, F.concat(F.lit("`"), arity.cast("string"))).otherwise(F.lit("")))
     docs = t["events"].where(F.col("event_type").isin("error", "view")).withColumn("p_partkey", F.col("user_id") % parts).join(t["part"], "p_partkey").select(
         F.lit("member").alias("owner_kind"), _id("o", e % orders).alias("owner_id"),
         F.concat(F.lit("<doc><"), F.when(F.col("event_type") == "error", "exception").otherwise("seealso"), F.lit(' cref="'), target, F.when(e % 10 == 3, F.lit('">')).otherwise(F.lit('"/></doc>'))).alias("xml"),
     )
-    empty = lambda name: spark.createDataFrame([], TABLES[name])
+    limits, impls = spark.createDataFrame([], TABLES["tp_constr"]), spark.createDataFrame([], TABLES["member_impls"])
+    if wide:
+        takes = t["orders"].where(level.isin("1", "5") & (o % 4 == 1))
+        on_methods = takes.select(F.concat(_id("o", o), F.lit("/0")).alias("tp_id"), F.lit("method").alias("owner_kind"), _id("o", o).alias("owner_id"), F.lit("None").alias("variance"))
+        on_types = t["customer"].where(k % 8 == 1).select(F.concat(_id("c", k), F.lit("/0")).alias("tp_id"), F.lit("type").alias("owner_kind"), _id("c", k).alias("owner_id"), F.lit("Out").alias("variance"))
+        more = on_methods.unionByName(on_types).select("*", F.lit(0).alias("ordinal"), F.lit("T0").alias("name"), F.lit(True).alias("ref_constraint"))
+        tps = _table(tps, "type_params").unionByName(_table(more, "type_params"))
+        limits = takes.select(F.concat(_id("o", o), F.lit("/0")).alias("tp_id"), F.posexplode(F.array_compact(F.array(_id("p", (o + 1) % parts), F.when(o % 8 == 1, _id("p", (o + 2) % parts))))).alias("pos", "type_id"))
+        limits = limits.unionByName(t["customer"].where(k % 8 == 1).select(F.concat(_id("c", k), F.lit("/0")).alias("tp_id"), F.lit(0).alias("pos"), _id("c", F.floor(k / 2)).alias("type_id")))
+        impls = t["orders"].where(o % 10 == 3).select(_id("o", o).alias("member_id"), F.lit(0).alias("pos"), _id("o", F.floor(o / 2)).alias("impl_member_id"))
+        named = t["customer"].where(~nested & (k % 10 != 7)).join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("o_custkey"), F.concat_ws(".", "r_name", "n_name", "c_name").alias("of"))
+        named = t["orders"].where(level == "1").join(named, "o_custkey").select(o, F.concat(F.lit("M:"), "of", F.lit(".M"), o.cast("string")).alias("cref"))
+        links = t["events"].where("event_type = 'click'").withColumn("o_orderkey", e % orders).join(named, "o_orderkey")
+        links = links.select(F.lit("member").alias("owner_kind"), _id("o", (e + 1) % orders).alias("owner_id"), F.concat(F.lit('<doc><seealso cref="'), "cref", F.lit('"/></doc>')).alias("xml"))
+        docs = docs.unionByName(links)
     return {
-        "assemblies": _table(asm, "assemblies"), "namespaces": _table(spaces, "namespaces"), "types": types, "type_ifaces": _table(ifaces, "type_ifaces"), "type_args": _table(args, "type_args"), "type_params": _table(tps, "type_params"), "tp_constr": empty("tp_constr"),
-        "members": _table(members, "members"), "member_impls": empty("member_impls"), "params": _table(params, "params"), "attributes": _table(attributes, "attributes"), "docs": _table(docs, "docs"),
+        "assemblies": _table(asm, "assemblies"), "namespaces": _table(spaces, "namespaces"), "types": types, "type_ifaces": _table(ifaces, "type_ifaces"), "type_args": _table(args, "type_args"), "type_params": _table(tps, "type_params"), "tp_constr": _table(limits, "tp_constr"),
+        "members": _table(members, "members"), "member_impls": _table(impls, "member_impls"), "params": _table(params, "params"), "attributes": _table(attributes, "attributes"), "docs": _table(docs, "docs"),
     }

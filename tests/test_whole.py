@@ -5,7 +5,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from symloom.plans import catalogue, whole
+from symloom.plans import catalogue, whole, wide
+from symloom.sources import star
 
 DIR = "/root/testdata/sf0.001"
 
@@ -13,15 +14,15 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     with duckdb.connect() as c:
-        for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        for name in star.SOURCES:
             c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DIR}/{name}.parquet'")
         yield c
 
 
-@pytest.mark.parametrize("name", whole.WHOLE)
+@pytest.mark.parametrize("name", whole.WHOLE | wide.WIDE)
 def test_whole_query(spark, duck, name):
     got = catalogue.QUERIES[name](spark, DIR)
-    want = duck.execute(whole.WHOLE[name])
+    want = duck.execute((whole.WHOLE | wide.WIDE)[name])
     assert got.columns == [c[0] for c in want.description]
     got, want = Counter(map(tuple, got.collect())), Counter(want.fetchall())
     assert got == want and want
