@@ -9,42 +9,46 @@ from symloom.functions import identity as I
 from symloom.staging import stage
 
 
+def _named(state: DataFrame) -> DataFrame:
+    """``state`` with ``ready`` (no part waits for its name) and ``meta_name``."""
+    part = lambda kind: F.try_element_at(F.transform(F.filter("parts", lambda p: p["kind"] == kind), lambda p: p["name"]), F.lit(1))
+    args = F.array_sort(F.transform(F.filter("parts", lambda p: p["kind"] == "arg"), lambda p: F.struct(p["pos"].alias("pos"), p["name"].alias("meta_name"), p["is_param"].alias("is_param"))))
+    state = state.withColumn("ready", F.forall("parts", lambda p: p["known"])).withColumn("outer", part("outer"))
+    name = (
+        F.when(F.col("shape") == "array", F.concat(part("element"), F.lit("[]")))
+        .when(F.col("shape") == "pointer", F.concat(part("element"), F.lit("*")))
+        .when(F.col("shape") == "type_param", F.concat(F.lit("T:"), F.coalesce("owner_name", F.lit("")), F.lit("."), "name"))
+        .when(F.col("shape") == "named", F.concat(F.when(F.col("outer").isNotNull(), F.concat("outer", F.lit("+"))).otherwise(F.col("ns_prefix")), "name", F.coalesce(I.arity_suffix(F.col("arity"), args), F.lit(""))))
+        .otherwise(F.col("display_name"))
+    )
+    return state.withColumn("meta_name", F.when(F.col("ready"), name)).drop("outer")
+
+
 def metadata_names(types: DataFrame, type_args: DataFrame, namespaces: DataFrame) -> DataFrame:
     """type_id, meta_name: names built bottom-up over element, outer and argument types.
 
     Each round names the types whose parts have names, so there are as many rounds as the
-    deepest name has levels.  Names that contain themselves can't exist and stay out.
+    deepest name has levels.  A round writes the types still waiting, each with its parts, and
+    joins the last round's names alone.  Names that contain themselves can't exist and stay out.
     """
     spaces = namespaces.select("ns_id", F.when(F.col("is_global"), F.lit("")).otherwise(F.concat("full_name", F.lit("."))).alias("ns_prefix"))
-    own = stage(types.join(spaces, "ns_id", "left").select("type_id", "shape", "name", "display_name", "containing_type_id", "element_type_id", "owner_name", "arity", F.coalesce("ns_prefix", F.lit("")).alias("ns_prefix")))
-    args = stage(type_args.join(types.select(F.col("type_id").alias("arg_type_id"), (F.col("shape") == "type_param").alias("is_param")), "arg_type_id").select("type_id", "pos", "arg_type_id", "is_param"))
-    needs = own.select("type_id", F.explode(F.array_compact(F.array("containing_type_id", "element_type_id"))).alias("part")).unionByName(args.select("type_id", F.col("arg_type_id").alias("part")))
+    own = types.join(spaces, "ns_id", "left").select("type_id", "shape", "name", "display_name", "containing_type_id", "element_type_id", "owner_name", "arity", F.coalesce("ns_prefix", F.lit("")).alias("ns_prefix"))
+    one = lambda kind, pos, part, is_param: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), part.alias("part"), is_param.alias("is_param"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("known"))
+    inside = [F.when(F.col(c).isNotNull(), one(kind, F.lit(0), F.col(c), F.lit(False))) for kind, c in (("outer", "containing_type_id"), ("element", "element_type_id"))]
+    args = type_args.join(types.select(F.col("type_id").alias("arg_type_id"), (F.col("shape") == "type_param").alias("is_param")), "arg_type_id")
+    given = args.groupBy("type_id").agg(F.collect_list(one("arg", F.col("pos"), F.col("arg_type_id"), F.col("is_param"))).alias("args"))
+    parts = F.array_compact(F.concat(F.array(*inside), F.when(F.col("args").isNotNull(), F.col("args")).otherwise(F.array().cast(given.schema["args"].dataType))))
+    state = stage(_named(own.join(given, "type_id", "left").withColumn("parts", parts).drop("args", "containing_type_id", "element_type_id")))
     done = None
-    waiting = own
     while True:
-        if done is None:
-            ready = waiting.join(needs, "type_id", "left_anti")
-            named = ready.withColumn("outer", F.lit(None).cast("string")).withColumn("element", F.lit(None).cast("string")).withColumn("args", F.lit(None).cast("array<struct<pos:int,meta_name:string,is_param:boolean>>"))
-        else:
-            missing = needs.join(done.select(F.col("type_id").alias("part")), "part", "left_anti").select("type_id").distinct()
-            ready = waiting.join(missing, "type_id", "left_anti")
-            outer = done.select(F.col("type_id").alias("containing_type_id"), F.col("meta_name").alias("outer"))
-            element = done.select(F.col("type_id").alias("element_type_id"), F.col("meta_name").alias("element"))
-            given = args.join(done.select(F.col("type_id").alias("arg_type_id"), "meta_name"), "arg_type_id").groupBy("type_id").agg(F.array_sort(F.collect_list(F.struct("pos", "meta_name", "is_param"))).alias("args"))
-            named = ready.join(outer, "containing_type_id", "left").join(element, "element_type_id", "left").join(given, "type_id", "left")
-        suffix = I.arity_suffix(F.col("arity"), F.col("args"))
-        name = (
-            F.when(F.col("shape") == "array", F.concat("element", F.lit("[]")))
-            .when(F.col("shape") == "pointer", F.concat("element", F.lit("*")))
-            .when(F.col("shape") == "type_param", F.concat(F.lit("T:"), F.coalesce("owner_name", F.lit("")), F.lit("."), "name"))
-            .when(F.col("shape") == "named", F.concat(F.when(F.col("outer").isNotNull(), F.concat("outer", F.lit("+"))).otherwise(F.col("ns_prefix")), "name", F.coalesce(suffix, F.lit(""))))
-            .otherwise(F.col("display_name"))
-        )
-        new = stage(named.select("type_id", name.alias("meta_name")))
-        if new.isEmpty():
-            return done if done is not None else new
+        new, waiting = state.where("ready").select("type_id", "meta_name"), state.where("not ready").drop("ready", "meta_name")
         done = new if done is None else done.unionByName(new)
-        waiting = stage(waiting.join(new, "type_id", "left_anti"))
+        if new.isEmpty() or waiting.isEmpty():
+            return done
+        found = new.select(F.col("type_id").alias("part"), F.col("meta_name").alias("_name"), F.lit(True).alias("_found"))
+        parts = waiting.select("type_id", F.inline("parts")).join(found, "part", "left")
+        now = F.struct("kind", "pos", "part", "is_param", F.coalesce("name", "_name").alias("name"), (F.col("known") | F.coalesce("_found", F.lit(False))).alias("known"))
+        state = stage(_named(waiting.drop("parts").join(parts.groupBy("type_id").agg(F.collect_list(now).alias("parts")), "type_id")))
 
 
 def with_type_iris(types: DataFrame, names: DataFrame, assemblies: DataFrame, base: str) -> DataFrame:
