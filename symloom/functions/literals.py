@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from symloom import vocab
 
+CONTROLS = r"\x00-\x08\x0B\x0C\x0E-\x1F"
+
 
 def escape_literal(text: Column) -> Column:
     """Backslash, quote, LF, CR and TAB by short escapes, other controls under U+0020 as ``\\uXXXX``; the rest raw."""
     out = text
     for raw, short in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(raw), F.lit(short))
-    rare = out
-    for code in range(32):
-        if chr(code) not in "\n\r\t":
-            rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04X}"))
-    return F.when(F.rlike(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")), rare).otherwise(out)
+    # one pass: parts that a control starts
+    code = lambda p: F.concat(F.lit("\\u00"), F.lpad(F.hex(F.ascii(p).cast("long")), 2, "0"), F.substring(p, F.lit(2), F.length(p)))
+    rare = F.array_join(F.transform(F.split(out, f"(?=[{CONTROLS}])", -1), lambda p: F.when(F.rlike(p, F.lit(f"^[{CONTROLS}]")), code(p)).otherwise(p)), "")
+    return F.when(F.rlike(text, F.lit(f"[{CONTROLS}]")), rare).otherwise(out)
 
 
 def _line(s: Column, p: Column, o: Column) -> Column:
@@ -43,11 +44,8 @@ def unescape_literal(text: Column) -> Column:
     hidden = F.replace(text, F.lit("\\\\"), F.lit("\0"))
     for raw, short in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         hidden = F.replace(hidden, F.lit(short), F.lit(raw))
-    rare = hidden
-    for code in range(1, 32):
-        if chr(code) not in "\n\r\t":
-            rare = F.replace(rare, F.lit(f"\\u{code:04X}"), F.lit(chr(code)))
-    nul = F.lit("\\u0000")
     back = lambda c: F.replace(c, F.lit("\0"), F.lit("\\"))
-    parts = F.split(rare, r"\\u0000", -1)
-    return F.when(F.contains(rare, nul), F.array_join(F.transform(parts, back), "\0")).otherwise(back(rare))
+    code = lambda p: F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("int"))
+    split = F.split(hidden, r"\\u00(?=[01][0-9A-Fa-f])", -1)
+    rare = F.array_join(F.transform(split, lambda p, i: F.when(i == 0, back(p)).otherwise(F.concat(code(p), back(F.substring(p, F.lit(3), F.length(p)))))), "")
+    return F.when(F.contains(hidden, F.lit("\\u00")), rare).otherwise(back(hidden))
