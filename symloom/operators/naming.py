@@ -43,7 +43,7 @@ def metadata_names(types: DataFrame, type_args: DataFrame, namespaces: DataFrame
     while True:
         new, waiting = state.where("ready").select("type_id", "meta_name"), state.where("not ready").drop("ready", "meta_name")
         done = new if done is None else done.unionByName(new)
-        if new.isEmpty() or waiting.isEmpty():
+        if len(state.select("ready").distinct().collect()) < 2:  # none named, or none left
             return done
         found = new.select(F.col("type_id").alias("part"), F.col("meta_name").alias("_name"), F.lit(True).alias("_found"))
         parts = waiting.select("type_id", F.inline("parts")).join(found, "part", "left")

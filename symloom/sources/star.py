@@ -12,8 +12,11 @@ null and array constants, and references to members in documentation.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from symloom.schema import TABLES
 
@@ -25,9 +28,14 @@ def _pick(values, key):
     return F.element_at(F.array(*map(F.lit, values)), (key % len(values)).cast("int") + 1)
 
 
+@cache
+def _schema(name: str) -> StructType:
+    return StructType.fromDDL(TABLES[name])
+
+
 def _table(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with the schema of a symbol table; missing columns are null."""
-    schema = rows.sparkSession.createDataFrame([], TABLES[name]).schema
+    schema = _schema(name)
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
