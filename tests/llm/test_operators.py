@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -416,3 +417,35 @@ def test_chat_sql(spark, tmp_path):
         assert sorted(want.columns) == sorted(got.columns)
         order = lambda r: tuple((x is None, x) for x in r)
         assert sorted(map(tuple, got.select(*want.columns).collect()), key=order) == sorted(want.fetchall(), key=order)
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(i, f"word{i % 97} " * (1 + i % 3) + ("!" * (i % 7) if i % 2 else "plain"), "en", "s", 0) for i in range(12_000)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, quality int")
+    texts = pa.array([r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 5])
+    x = np.concatenate([quality.features(data, offs) for _, data, offs in slices(texts)])
+    model = quality.train(docs, labels, few=5)
+    assert len(x) > 8000 and np.allclose(model.mean, x.mean(0, dtype=float), atol=1e-9)
+
+
+def test_quality_fits_all_pairs(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    y = np.arange(240) % 3 > 0
+    x = r.normal(size=(240, quality.WIDTH)).astype(np.float32)
+    x[:, 20:] = 0
+    x[:, :20] += 0.4 * y[:, None]
+    rows = spark.createDataFrame([(int(a), b.tobytes()) for a, b in zip(y, x, strict=True)], "y int, f binary").repartition(2)
+    model = quality.fit(rows, close=1e-5)
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    apart = (z[y][:, None] - z[~y][None]).reshape(-1, quality.WIDTH)
+    doubt = 1 / (1 + np.exp(apart @ model.weight))
+    slope = 1e-3 * model.weight - doubt @ apart / len(apart)
+    assert np.abs(apart.mean(0)).max() > 0.2 and np.abs(slope).max() < 2e-3
+    raw, at = model.raw(x), (np.log(0.3 / 0.7) - model.shift) / model.slope
+    balance = lambda c: ((raw[y] >= c).mean() + (raw[~y] < c).mean()) / 2
+    assert balance(at) > max(map(balance, raw)) - 0.01
