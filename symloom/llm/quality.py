@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, cut: float = 0.3, few: int = 1_000
 
     def measure(batches):
         for b in batches:
-            for row, data, offs in slices(b.column(1)):
+            for row, data, offs in slices(b.column(1), ROWS):
                 n = len(offs) - 1
                 f = np.ascontiguousarray(features(data, offs), "<f4").view(np.uint8).reshape(n, -1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), pa.array([r.tobytes() for r in f], pa.binary())], ["y", "f"])
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: PairwiseModel, cut: float = 0.3) -> DataFrame:
 
     def apply(batches):
         for b in batches:
-            parts = [shared.value.score(features(data, offs)) for _, data, offs in slices(b.column(1))]
+            parts = [shared.value.score(features(data, offs)) for _, data, offs in slices(b.column(1), ROWS)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, score double")
@@ -320,7 +320,7 @@ def keep(docs: DataFrame, model: PairwiseModel, cut: float = 0.3) -> DataFrame:
 
     def apply(batches):
         for b in batches:
-            parts = [shared.value.score(features(data, offs)) for _, data, offs in slices(b.column(at))]
+            parts = [shared.value.score(features(data, offs)) for _, data, offs in slices(b.column(at), ROWS)]
             yield b.filter(pa.array(np.concatenate(parts) >= cut)) if parts else b
 
     return docs.mapInArrow(apply, docs.schema)

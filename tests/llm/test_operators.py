@@ -449,3 +449,18 @@ def test_quality_fits_all_pairs(spark):
     raw, at = model.raw(x), (np.log(0.3 / 0.7) - model.shift) / model.slope
     balance = lambda c: ((raw[y] >= c).mean() + (raw[~y] < c).mean()) / 2
     assert balance(at) > max(map(balance, raw)) - 0.01
+
+
+def test_chunks_bound_a_workers_memory():
+    import tracemalloc
+
+    texts = pa.array([f"ab cd {i} " * 20 for i in range(20_000)])
+    for most, work in ((40e6, lambda d, o: quality.features(d, o)), (30e6, jaccard.shingles)):
+        for _, data, offs in slices(texts[:10], quality.ROWS):
+            work(data, offs)  # tables of powers are made once
+        tracemalloc.start()
+        for _, data, offs in slices(texts, quality.ROWS if work is not jaccard.shingles else 65536):
+            work(data, offs)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
