@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from symloom.llm.components import components, with_more
 from symloom.llm.staging import discard, stage
-from symloom.llm.text import Words, as_long, distinct, mix, pieces, slices
+from symloom.llm.text import Words, as_long, distinct, lean, mix, pieces, slices
 
 U = np.uint64
 LOW = U(int(0.3125 * 2**64))  # hashes below it are all posted
@@ -73,7 +73,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 k1, k2 = set_keys(values, bounds)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(offs) - 1), *map(pa.array, (np.diff(bounds), below(values, bounds), as_long(k1), as_long(k2)))], ["doc_id", "n", "low", "k1", "k2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, n long, low long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(apply), "doc_id long, n long, low long, k1 long, k2 long")
 
 
 def poster(bits: int, source, parts: int = 1):
@@ -112,6 +112,11 @@ def poster(bits: int, source, parts: int = 1):
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "entries", "keys"])
 
+    def flushed(held):
+        out = send(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()  # before the work, which holds a copy
+        return batch(list(out))
+
     def apply(batches):
         held, size = [], 0
         for b in batches:
@@ -119,12 +124,12 @@ def poster(bits: int, source, parts: int = 1):
                 held.append((mix(token), (token < LOW).astype(U), key))
                 size += len(token)
                 if size >= FLUSH:
-                    yield batch(list(send(*(np.concatenate(x) for x in zip(*held, strict=True)))))
-                    held, size = [], 0
+                    yield flushed(held)
+                    size = 0
         if size:
-            yield batch(list(send(*(np.concatenate(x) for x in zip(*held, strict=True)))))
+            yield flushed(held)
 
-    return apply
+    return lean(apply)
 
 
 def prefixes(b: pa.RecordBatch):
@@ -183,7 +188,7 @@ def repeated(bits: int, groups: int, counted: bool = False):
             return pa.table(cols | {"shared": pa.array([count[i].astype(np.int64).tobytes() for i in parts], pa.binary())})
         return pa.table(cols | {"tokens": pa.array([token[i].tobytes() for i in parts], pa.binary()), "counts": pa.array([count[i].tobytes() for i in parts], pa.binary())})
 
-    return apply
+    return lean(apply)
 
 
 def summed(t: pa.Table) -> pa.Table:
@@ -237,7 +242,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, few: int = 1_000_000) -> DataF
 
     wanted = F.broadcast(wanted) if wanted.count() <= few else wanted
     own = docs.select(F.col("doc_id").cast("long").alias("s"), "text").join(wanted, "s", "left_semi")
-    return own.mapInArrow(apply, "s long, shingles binary")
+    return own.mapInArrow(lean(apply), "s long, shingles binary")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, with_bits: bool = False) -> DataFrame:
@@ -261,7 +266,7 @@ def compare(pairs: DataFrame, sets: DataFrame, with_bits: bool = False) -> DataF
 
     with_b = pairs.join(sets.select(F.col("s").alias("b"), F.col("shingles").alias("right")), "b")
     both = with_b.join(sets.select(F.col("s").alias("a"), F.col("shingles").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(apply, "a long, b long, common long, either long" + ", bits binary" * with_bits)
+    return both.select("a", "b", "left", "right").mapInArrow(lean(apply), "a long, b long, common long, either long" + ", bits binary" * with_bits)
 
 
 def cell(t: pa.Table) -> pa.Table:
@@ -311,7 +316,7 @@ def unsettled(done: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFram
     x = x.join(waiting, F.col("a") == F.col("w_a")).select(*fields, F.lit(True).alias("x"), rows.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
     y = side.join(waiting, F.col("a") == F.col("w_a")).select(*fields, F.lit(False).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x_blocks") - 1)).alias("i"), place.alias("j"))
     # dealt by all keys: Spark would take the joins' partitioning by leader for the groups too
-    return x.unionByName(y).repartition("a", "i", "j").groupBy("a", "i", "j").applyInArrow(cell, "a long, b long").distinct()
+    return x.unionByName(y).repartition("a", "i", "j").groupBy("a", "i", "j").applyInArrow(lean(cell), "a long, b long").distinct()
 
 
 def bits_for(amount: int, share: float) -> int:
@@ -349,15 +354,15 @@ def join(docs: DataFrame) -> DataFrame:
     posted = docs.select("text").mapInArrow(poster(bits, prefixes, 1 + different // PAST), "bucket long, entries binary, keys binary")
     groups = max(1, different // GROUP, int(total * 0.34) // HELD)
     found = posted.groupBy("bucket").applyInArrow(repeated(bits, groups), "group long, sets binary, tokens binary, counts binary")
-    found = found.groupBy("group").applyInArrow(gathered, "k1 long, tokens binary, counts binary")
-    listed = found.join(uniq, "k1").select("tokens", "counts", "n", "low", "s").mapInArrow(choose, "s long, n long, alone long, tokens array<long>")
+    found = found.groupBy("group").applyInArrow(lean(gathered), "k1 long, tokens binary, counts binary")
+    listed = found.join(uniq, "k1").select("tokens", "counts", "n", "low", "s").mapInArrow(lean(choose), "s long, n long, alone long, tokens array<long>")
     listed = kept = stage(listed)
 
     sets = stage(full_sets(docs, with_heads(listed).select("s").distinct()))
     many, amount = sets.agg(F.count(F.lit(1)), F.sum(F.octet_length("shingles"))).first()
     bits, groups = bits_for(amount or 0, 8), max(1, many // GROUP)
     shared = sets.mapInArrow(poster(bits, whole_sets, 1 + many // PAST), "bucket long, entries binary, keys binary").groupBy("bucket").applyInArrow(repeated(bits, groups, True), "group long, sets binary, shared binary")
-    shared = shared.groupBy("group").applyInArrow(summed, "s long, shared long")
+    shared = shared.groupBy("group").applyInArrow(lean(summed), "s long, shared long")
     listed = listed.join(shared, "s").withColumn("alone", F.col("n") - F.col("shared")).where("4 * alone <= n").drop("shared")
     lists = stage(with_heads(listed))
     first = lists.where("s <> a").select("a", F.col("s").alias("b")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.staging import stage
-from symloom.llm.text import Words, slices
+from symloom.llm.text import Words, lean, slices
 
 BLOCK = 4096  # documents of one flight
 MOST = 3  # times a document or a source may be taken
@@ -115,7 +115,7 @@ def sized(docs: DataFrame) -> DataFrame:
             n = [Words(data, offs, hashed=False).count for _, data, offs in slices(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n) if n else np.zeros(0), pa.int64())], ["doc_id", "source", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(apply, "doc_id long, source string, size long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(lean(apply), "doc_id long, source string, size long")
 
 
 def targets(sizes: DataFrame) -> tuple[list[tuple], str]:
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, few: int = 10_000) -> DataFrame:
     while True:
         flown = waiting.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(level)), F.col("blocks")))
 
-        flown = flown.groupBy("source", "block").applyInArrow(flyer(level, wanted), kept)
+        flown = flown.groupBy("source", "block").applyInArrow(lean(flyer(level, wanted)), kept)
         open_ = (F.col("part") > 0) & (F.col("part") < 1)
         if most == 1:
             done.append(flown)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.staging import discard, stage
-from symloom.llm.text import Words, distinct, slices
+from symloom.llm.text import Words, distinct, lean, slices
 
 WORD_BUCKETS = 256
 PLAIN = 10
@@ -97,7 +97,7 @@ def added(rows: DataFrame, size: int, add) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], ["at", "total"])
 
     out = np.zeros(size)
-    for r in rows.mapInArrow(apply, "at binary, total binary").collect():
+    for r in rows.mapInArrow(lean(apply), "at binary, total binary").collect():
         out[np.frombuffer(r.at, "<i4")] += np.frombuffer(r.total)
     return out
 
@@ -122,7 +122,7 @@ def products(rows: DataFrame, standard, share: tuple[float, float]) -> np.ndarra
         return pa.table({"line": t.column("line")[:1], "total": pa.array([sum(np.frombuffer(x) for x in own).tobytes()], pa.binary())})
 
     out = np.zeros((WIDTH, WIDTH))
-    for r in rows.mapInArrow(apply, "line int, part int, total binary").groupBy("line").applyInArrow(line, "line int, total binary").collect():
+    for r in rows.mapInArrow(lean(apply), "line int, part int, total binary").groupBy("line").applyInArrow(line, "line int, total binary").collect():
         out[r.line] = np.frombuffer(r.total)
     return out
 
@@ -289,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, cut: float = 0.3, few: int = 1_000
                 f = np.ascontiguousarray(features(data, offs), "<f4").view(np.uint8).reshape(n, -1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), pa.array([r.tobytes() for r in f], pa.binary())], ["y", "f"])
 
-    measured = stage(rows.mapInArrow(measure, "y int, f binary"))
+    measured = stage(rows.mapInArrow(lean(measure), "y int, f binary"))
     try:
         return fit(measured, cut)
     finally:
@@ -309,7 +309,7 @@ def score(docs: DataFrame, model: PairwiseModel, cut: float = 0.3) -> DataFrame:
             parts = [shared.value.score(features(data, offs)) for _, data, offs in slices(b.column(1), ROWS)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(apply), "doc_id long, score double")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
@@ -323,4 +323,4 @@ def keep(docs: DataFrame, model: PairwiseModel, cut: float = 0.3) -> DataFrame:
             parts = [shared.value.score(features(data, offs)) for _, data, offs in slices(b.column(at), ROWS)]
             yield b.filter(pa.array(np.concatenate(parts) >= cut)) if parts else b
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(lean(apply), docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.text import SHINGLE, Words, slices
+from symloom.llm.text import SHINGLE, Words, lean, slices
 
 BLOCK_BYTES = 8 << 20
 
@@ -167,5 +167,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                         mask[row + d] = all(c < threshold for _, c, _, _ in items)
                 yield b.filter(pa.array(mask))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(lean(keep), docs.schema)
     return docs

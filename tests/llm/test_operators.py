@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -464,3 +465,32 @@ def test_chunks_bound_a_workers_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < most
+
+
+def test_idle_workers_give_memory_back():
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from symloom.llm import jaccard
+
+def held():
+    return int(re.search(r"Private_Dirty:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches(n):
+    for i in range(n):
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}x{j}y{k}" for k in range(300)) for j in range(2000)])], ["text"])
+
+work = jaccard.poster(4, jaccard.prefixes)
+for _ in work(batches(1)):
+    pass
+before, most = held(), 0
+for _ in work(batches(6)):
+    most = max(most, held())
+print(most - before, held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout
+    most, kept = map(float, out.split())
+    assert most > 5 and kept < 5

@@ -37,3 +37,26 @@ def test_stages(spark, tmp_path):
 def test_one_query_for_each_operator():
     names = queries.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+
+
+def test_stages_send_small_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 10000)
+    try:
+        docs = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars").coalesce(1)
+        docs.limit(0).selectExpr("doc_id AS item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+        corpus_pipeline.STAGES[2][1](spark, docs, str(tmp_path))
+
+        def rows(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+        sizes = [r.n for r in docs.mapInArrow(rows, "n long").collect()]
+        assert sum(sizes) == 5000 and max(sizes) <= 1024
+        spark.conf.set(key, 100)
+        corpus_pipeline.STAGES[2][1](spark, docs, str(tmp_path))
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.unset(key)
