@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.staging import near, stage
+
 
 @dataclass(frozen=True)
 class Var:
@@ -32,8 +35,16 @@ def _kind(name: str) -> str:
     return f"_kind_{name}"
 
 
+Source = DataFrame | Callable[[str | None, str | None], DataFrame]
+
+
+def _read(triples: Source, pattern: Pattern) -> DataFrame:
+    constant = lambda t: None if isinstance(t, Var) else t.value
+    return triples(constant(pattern[1]), constant(pattern[2])) if callable(triples) else triples
+
+
 def _scan(triples: DataFrame, pattern: Pattern, tag: int, iris: frozenset[str] = frozenset()) -> tuple[DataFrame, list[str]]:
-    """Rows of one pattern; ``iris`` are variables that stand for IRIs elsewhere.  Other objects carry their kind of term."""
+    """Rows of one pattern, repeated ones too; ``iris`` are variables that stand for IRIs elsewhere.  Other objects carry their kind of term."""
     rows, out, seen = triples, [], {}
     for role, term in zip(("subject", "predicate", "object"), pattern, strict=True):
         if isinstance(term, Var):
@@ -53,7 +64,7 @@ def _scan(triples: DataFrame, pattern: Pattern, tag: int, iris: frozenset[str] =
                 rows = rows.where("not is_iri and datatype is null")
             elif role == "object":
                 rows = rows.where("is_iri")
-    return rows.select(*out).distinct() if out else rows.limit(1).select(F.lit(1).alias(f"_hit{tag}")), list(seen)
+    return rows.select(*out) if out else rows.limit(1).select(F.lit(1).alias(f"_hit{tag}")), list(seen)
 
 
 def _weight(pattern: Pattern) -> tuple[int, int]:
@@ -73,22 +84,30 @@ def order(patterns: list[Pattern]) -> list[Pattern]:
     return out
 
 
-def solve(triples: DataFrame, patterns: list[Pattern], select: list[str] | None = None, allow_product: bool = False) -> DataFrame:
+def solve(triples: Source, patterns: list[Pattern], select: list[str] | None = None, allow_product: bool = False) -> DataFrame:
     """Solutions as a bag over the set of triples; columns are the variables' names.
 
     Patterns that share no variable with the others would multiply rows; that is refused unless
     asked for.
+
+    ``triples`` may be a function of a pattern's predicate and object (None for variables) that
+    makes rows holding all that match.  Then solutions so far are written after each pattern,
+    and while they are few the next one's rows are held against their hashes before they are dealt out.
     """
     result, known = None, []
     iris = frozenset(t.name for p in patterns for t in p[:2] if isinstance(t, Var))
     for i, pattern in enumerate(order(patterns)):
-        rows, names = _scan(triples, pattern, i, iris)
+        rows, names = _scan(_read(triples, pattern), pattern, i, iris)
         if result is None:
-            result, known = rows, names
+            result, known = rows.distinct() if names else rows, names
             continue
         shared = [n for n in names if n in known]
         if not shared and names and known and not allow_product:
             raise ValueError(f"pattern {pattern} shares no variable with the others")
+        if callable(triples):
+            result = stage(result)
+            rows = near(rows, result.select(shared)) if shared else rows
+        rows = rows.distinct() if names else rows
         keys = shared + [_kind(n) for n in shared if n not in iris]
         result = result.join(rows, keys) if shared else result.crossJoin(rows)
         known += [n for n in names if n not in known]
